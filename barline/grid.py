@@ -15,6 +15,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barline.ranks import range_of
+
 CHUNK = "_chunk"
 HOME = "_home"
 BLOCK = "_block"
@@ -37,12 +39,36 @@ class Grid:
     tie: tuple[str, ...] = ()
     chunk_rows: int = 65_536
     block_rows: int = 4_096
+    cuts: tuple[float, ...] = ()
+
+    def fit(self, df: DataFrame, target_rows: int = 2_000_000) -> "Grid":
+        """A grid whose chunks hold about ``target_rows`` rows of the longest series.
+
+        For tables whose rows are not on a regular grid (ticks, events). Where the longest series
+        is larger than one chunk, its time quantiles become the chunk borders, however bursty it
+        is. Only the cut points reach the driver.
+        """
+        per_key = df.groupBy(*self.key).agg(F.count(F.lit(1)).alias("_n"))
+        top = per_key.agg(F.max_by(F.struct(*self.key), "_n").alias("k"), F.max("_n").alias("n")).first()
+        if not top.n or top.n <= target_rows:
+            return replace(self, cuts=(float("inf"),))
+        fine = 16 * -(-top.n // target_rows)
+        hottest = df.filter(
+            _all(F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(self.key, top.k))
+        )
+        at = F.unix_micros(F.col(self.time).cast("timestamp")).cast("double")
+        probs = [i / fine for i in range(1, fine)]
+        row = hottest.select(F.percentile_approx(at, probs, 100_000).alias("b")).first()
+        return replace(self, cuts=tuple(sorted(set(row.b))))
 
     def by(self, *extra: str) -> "Grid":
         """The same grid with further key columns."""
         return replace(self, key=self.key + extra)
 
     def block(self) -> Column:
+        if self.cuts:
+            at = F.unix_micros(F.col(self.time).cast("timestamp")).cast("double")
+            return range_of(at, list(self.cuts)).cast("long")
         seconds = F.unix_seconds(F.col(self.time).cast("timestamp"))
         return F.floor(seconds / F.lit(self.step * self.block_rows)).cast("long")
 
@@ -85,6 +111,13 @@ class Roll:
     ahead: int = 0
 
 
+def _all(conditions) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
 def with_halo(df: DataFrame, grid: Grid, back: int, ahead: int) -> DataFrame:
     """Tag rows with their chunk and lend the ``back`` / ``ahead`` neighbouring rows to other chunks."""
     keys = list(grid.key)

@@ -86,7 +86,7 @@ def repair_bars(df: DataFrame) -> DataFrame:
     return (
         out.withColumns({"high": F.when(inverted, F.col("_low")).otherwise(F.col("_high")), "low": F.col("_low")})
         .drop("_high", "_low")
-        .na.drop("any", OHLC)
+        .na.drop("any", subset=OHLC)
     )
 
 

@@ -84,7 +84,7 @@ def resample_bars(
         F.max_by("close", F.when(F.col("close").isNotNull(), t)).alias("close"),
         *[F.sum(c).alias(c) for c in sums],
     )
-    return out.withColumnRenamed(time + "_", time).na.drop("any", ["open", "high", "low", "close"])
+    return out.withColumnRenamed(time + "_", time).na.drop("any", subset=["open", "high", "low", "close"])
 
 
 _SUMMED = {"volume", "quote_volume", "trades", "taker_buy_base_volume", "taker_buy_quote_volume"}

@@ -218,3 +218,65 @@ def lag(x: str, k: int = 1, part: str = "series_id") -> str:
 
 def lead(x: str, k: int = 1, part: str = "series_id") -> str:
     return f"lead({x}, {k}) OVER (PARTITION BY {part} ORDER BY ts)"
+
+
+def t_tail_sql(t: str, v: str) -> str:
+    """Two-sided Student tail by Simpson's rule on the angle atan(t / sqrt(v))."""
+    th = f"atan(abs({t}) / sqrt({v}))"
+    terms = (
+        "list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+        f" * pow(cos({th} * i / 2000), {v} - 1)))"
+    )
+    return f"(1 - exp(lgamma(({v} + 1) / 2.0) - lgamma({v} / 2.0)) * 2 / sqrt(pi()) * ({th} / 6000) * {terms})"
+
+
+def norm_tail_sql(z: str) -> str:
+    terms = (
+        "list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+        f" * exp(-pow({z} * i / 2000, 2) / 2)))"
+    )
+    return f"(1 - 2 / sqrt(2 * pi()) * (abs({z}) / 6000) * {terms})"
+
+
+SCORES_SQL = f"""{BARS_4H_SQL}, sc0 AS (SELECT series_id, ts, close,
+      floor(taker_buy_quote_volume / quote_volume * 100) / 100 AS p, (close > open)::INT AS state,
+      CASE WHEN lead(close) OVER w IS NOT NULL THEN (lead(close) OVER w > close)::INT END AS y,
+      lead(close, 6) OVER w / close - 1 AS ret, ln(close / lag(close) OVER w) AS r,
+      CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 's1' WHEN ts < TIMESTAMP '2024-01-21' THEN 's2' ELSE 's3' END AS split
+      FROM bars WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+    scores AS (SELECT *, CASE WHEN p > 0.6 THEN 1 WHEN p < 0.4 THEN -1 ELSE 0 END AS signal,
+      CASE WHEN r > 0.3 THEN 'up' WHEN r < -0.3 THEN 'down' WHEN r IS NOT NULL THEN 'flat' END AS regime FROM sc0)"""
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    """4-hour bars as if scored by a model: probability, outcome, forward return, signal, regime, split."""
+    from barline.grid import Roll, over_series
+    from barline.operators import labels as L
+    from barline.operators import rolling as R
+
+    def nxt(w):
+        return (F.lead("close", 1).over(w.spec) > F.col("close")).cast("int")
+
+    df = over_series(
+        bars_4h(spark, sf),
+        BARS_4H,
+        {"y": Roll(nxt, ahead=1), "ret": L.fwd_return("close", 6), "r": R.log_return("close")},
+    )
+    p, r, ts = F.floor(F.col("taker_buy_quote_volume") / F.col("quote_volume") * 100) / 100, F.col("r"), F.col("ts")
+    df = df.select(
+        "series_id",
+        "ts",
+        "close",
+        p.alias("p"),
+        (F.col("close") > F.col("open")).cast("int").alias("state"),
+        "y",
+        "ret",
+        "r",
+        F.when(ts < "2024-01-11", "s1").when(ts < "2024-01-21", "s2").otherwise("s3").alias("split"),
+    )
+    return df.withColumns(
+        {
+            "signal": F.when(F.col("p") > 0.6, 1).when(F.col("p") < 0.4, -1).otherwise(0),
+            "regime": F.when(r > 0.3, "up").when(r < -0.3, "down").when(r.isNotNull(), "flat"),
+        }
+    )

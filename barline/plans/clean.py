@@ -167,7 +167,7 @@ def _(spark, sf):
 
 @query(
     "clean_index_series",
-    "series_id ts value:4",
+    "series_id ts value:6",
     f"{SLOW_1D_SQL}, t AS (SELECT 'idx' AS series_id, ts, CASE WHEN cnt % 4 = 0 THEN NULL ELSE value END AS value FROM slow)",
 )
 def _(spark, sf):
@@ -179,7 +179,7 @@ def _(spark, sf):
 
 @query(
     "clean_macro_values",
-    "ts a:4 b:4",
+    "ts a:6 b:6",
     f"""{SLOW_1D_SQL}, m AS (SELECT ts, CASE WHEN cnt % 4 = 0 THEN NULL ELSE value END AS a, CASE WHEN cnt % 3 = 0 THEN NULL ELSE value * 2 END AS b FROM slow),
     t AS (SELECT * FROM m WHERE a IS NOT NULL OR b IS NOT NULL)""",
 )

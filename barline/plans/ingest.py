@@ -62,8 +62,8 @@ def _(spark, sf):
 @query(
     "flatten_records",
     "series_id ts px__close:4 px__alt:4",
-    """r AS (SELECT event_type AS series_id, event_id, 0 AS pos, epoch_ms(ts::TIMESTAMP) AS ms, value AS c, NULL AS a FROM events
-      UNION ALL SELECT event_type, event_id, 1, epoch_ms(ts::TIMESTAMP) + 60000, value * 2, value / 2 FROM events),
+    """r AS (SELECT event_type AS series_id, event_id, 0 AS pos, epoch_us(ts::TIMESTAMP) // 1000 AS ms, value AS c, NULL AS a FROM events
+      UNION ALL SELECT event_type, event_id, 1, epoch_us(ts::TIMESTAMP) // 1000 + 60000, value * 2, value / 2 FROM events),
     k AS (SELECT *, row_number() OVER (PARTITION BY series_id, ms ORDER BY event_id DESC, pos DESC) AS rn FROM r),
     t AS (SELECT series_id, epoch_ms(ms) AS ts, c AS px__close, a AS px__alt FROM k WHERE rn = 1)""",
 )
@@ -152,7 +152,7 @@ def _(spark, sf):
 @query(
     "parse_epoch",
     "event_id a:t b:t c:t d:t",
-    """t AS (SELECT event_id, epoch_ms(epoch_ms(ts::TIMESTAMP)) AS a, date_trunc('second', ts::TIMESTAMP) AS b,
+    """t AS (SELECT event_id, epoch_ms(epoch_us(ts::TIMESTAMP) // 1000) AS a, date_trunc('second', ts::TIMESTAMP) AS b,
       date_trunc('second', ts::TIMESTAMP) AS c, date_trunc('day', ts::TIMESTAMP) AS d FROM events)""",
 )
 def _(spark, sf):
@@ -294,10 +294,10 @@ def _(spark, sf):
 @query(
     "retention",
     "id:i published_at:t",
-    f"{NEWS_SQL}, t AS (SELECT id, published_at FROM news WHERE published_at >= TIMESTAMP '2024-01-30' - INTERVAL 29 DAY - INTERVAL 12 HOUR)",
+    f"{NEWS_SQL}, t AS (SELECT id, published_at FROM news WHERE published_at >= TIMESTAMP '2024-01-30 03:00:00' - INTERVAL 29 DAY)",
 )
 def _(spark, sf):
-    return U.retain(news(spark, sf), "published_at", "2024-01-29 12:00:00", 29)
+    return U.retain(news(spark, sf), "published_at", "2024-01-30 03:00:00", 29)
 
 
 @query(
@@ -366,16 +366,16 @@ BAD_QUOTES = "CASE WHEN trades % 3 = 0 THEN 0.0 WHEN trades % 5 = 0 THEN NULL WH
 
 @query(
     "repair_quotes",
-    "series_id ts forward:4 both:4",
+    "series_id ts forward:4 filled:4",
     f"""{BARS_1D_SQL}, q AS (SELECT series_id, ts, {BAD_QUOTES} AS q FROM bars),
     g AS (SELECT *, CASE WHEN q > 0 THEN q END AS good FROM q),
     f AS (SELECT *, last_value(good IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts) AS forward FROM g),
     t AS (SELECT series_id, ts, forward, coalesce(forward, first_value(forward IGNORE NULLS) OVER
-      (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS both FROM f)""",
+      (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM f)""",
 )
 def _(spark, sf):
-    df = bars_1d(spark, sf).withColumn("forward", F.expr(BAD_QUOTES)).withColumn("both", F.expr(BAD_QUOTES))
-    return repair_quotes(repair_quotes(df, BARS_1D, ["forward"]), BARS_1D, ["both"], backfill=True)
+    df = bars_1d(spark, sf).withColumn("forward", F.expr(BAD_QUOTES)).withColumn("filled", F.expr(BAD_QUOTES))
+    return repair_quotes(repair_quotes(df, BARS_1D, ["forward"]), BARS_1D, ["filled"], backfill=True)
 
 
 @query(
@@ -411,7 +411,7 @@ def _(spark, sf):
 
 @query(
     "concat_by_name",
-    "series_id ts close:4 extra:4",
+    "series_id ts close:6 extra:6",
     f"""{BARS_1D_SQL}, {SLOW_1D_SQL}, t AS (SELECT series_id, ts, close, NULL::DOUBLE AS extra FROM bars
       UNION ALL SELECT 'slow', ts, value, cnt::DOUBLE FROM slow)""",
 )

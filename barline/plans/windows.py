@@ -262,7 +262,7 @@ def _(spark, sf):
 
 @query(
     "ewm_macd",
-    "series_id ts ema_12:6 macd_hist_norm:6",
+    "series_id ts ema_12:4 macd_hist_norm:6",
     f"""{BARS_1D_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS n FROM bars),
     e AS (SELECT series_id, ts, n, close,
       list(close) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 600 PRECEDING AND CURRENT ROW) AS l FROM n),
