@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from barline.plans import clean, ingest, joins, statistics, windows  # noqa: F401
+from barline.plans import clean, ingest, joins, scoring, statistics, windows  # noqa: F401
