@@ -108,7 +108,7 @@ def daily_features(df: DataFrame, grid: Grid, p: DailyParams = DailyParams(), dr
         },
     )
     out = over_series(df, grid, first, second, third, macd[3])
-    out = out.drop("_move", "_step", "_path", "_fast", "_slow", "_macd", "_signal", "_tr")
+    out = out.drop("_change", "_net_move", "_step", "_path", "_fast", "_slow", "_macd", "_signal", "_tr")
     return out.na.drop("any", subset=MODEL_INPUT) if drop_burnin else out
 
 

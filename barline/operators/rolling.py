@@ -203,8 +203,8 @@ def efficiency_ratio(x, n: int) -> list[dict[str, Roll | Column]]:
     step = Roll(lambda w: F.abs(col(x) - F.lag(col(x), 1).over(w.spec)), back=1)
     move = Roll(lambda w: F.abs(col(x) - F.lag(col(x), n).over(w.spec)), back=n)
     path = roll_sum("_step", n)
-    ratio = F.when(F.col("_path") > 0, F.col("_move") / F.col("_path")).otherwise(F.lit(0.0))
-    return [{"_step": step, "_move": move}, {"_path": path}, {"er": ratio}]
+    ratio = F.when(F.col("_path") > 0, F.col("_net_move") / F.col("_path")).otherwise(F.lit(0.0))
+    return [{"_step": step, "_net_move": move}, {"_path": path}, {"er": ratio}]
 
 
 def roll_slope(x, n: int, norm: str = "raw") -> Roll:
@@ -262,7 +262,7 @@ def bb_position(x, n: int, k: float = 2.0, population: bool = False, flat: float
 
 def rsi(x, n: int, zero_loss: float | None = None) -> list[dict[str, Roll | Column]]:
     """Strength index from plain means of gains and losses; stage 1 makes the moves."""
-    move = F.col("_move")
+    move = F.col("_change")
 
     def build(w: SeriesWindow) -> Column:
         gain = _rolled(F.greatest(move, F.lit(0.0)) + move * 0, n, F.avg)(w)
@@ -270,7 +270,7 @@ def rsi(x, n: int, zero_loss: float | None = None) -> list[dict[str, Roll | Colu
         value = F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + safe_div(gain, loss))
         return F.when(loss == 0, F.lit(zero_loss).cast("double")).otherwise(value)
 
-    return [{"_move": diff(x)}, {f"rsi_{n}": Roll(build, back=n - 1)}]
+    return [{"_change": diff(x)}, {f"rsi_{n}": Roll(build, back=n - 1)}]
 
 
 def range_position(x, high, low, n: int) -> Roll:
