@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from barline.plans import clean, featuresets, ingest, joins, scoring, signals, statistics, textnews, windows  # noqa: F401
+from barline.plans import clean, featuresets, ingest, joins, models, scoring, signals, statistics, streams, textnews, windows  # noqa: F401

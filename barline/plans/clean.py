@@ -227,38 +227,38 @@ def _(spark, sf):
     "freshness_status",
     "series_id max_days:i last_ts:t days_ago:1 status recent_nulls:1",
     f"""{BARS_1D_SQL}, s AS (SELECT series_id, ts, CASE WHEN trades % 2 = 0 THEN close END AS x FROM bars
-        WHERE series_id <> '2-HIGH' OR ts < TIMESTAMP '1998-06-01'),
+        WHERE series_id <> '2-HIGH' OR ts < TIMESTAMP '2001-06-01'),
     n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rn FROM s),
     l AS (SELECT series_id, max(ts) AS last_ts, sum((rn <= 5 AND x IS NULL)::INT) AS recent_nulls FROM n GROUP BY 1),
     e AS (SELECT DISTINCT o_orderpriority AS series_id, 5 AS max_days FROM orders UNION ALL SELECT DISTINCT 'x' || o_orderstatus, 9 FROM orders),
-    t AS (SELECT e.series_id, max_days, last_ts, date_diff('day', last_ts, TIMESTAMP '1998-08-05') AS days_ago, recent_nulls,
-      CASE WHEN last_ts IS NULL THEN 'MISSING' WHEN date_diff('day', last_ts, TIMESTAMP '1998-08-05') <= max_days THEN 'FRESH' ELSE 'STALE' END AS status
+    t AS (SELECT e.series_id, max_days, last_ts, date_diff('day', last_ts, TIMESTAMP '2001-08-05') AS days_ago, recent_nulls,
+      CASE WHEN last_ts IS NULL THEN 'MISSING' WHEN date_diff('day', last_ts, TIMESTAMP '2001-08-05') <= max_days THEN 'FRESH' ELSE 'STALE' END AS status
       FROM e LEFT JOIN l USING (series_id))""",
 )
 def _(spark, sf):
-    bars = bars_1d(spark, sf).filter((F.col("series_id") != "2-HIGH") | (F.col("ts") < F.lit("1998-06-01").cast("timestamp")))
+    bars = bars_1d(spark, sf).filter((F.col("series_id") != "2-HIGH") | (F.col("ts") < F.lit("2001-06-01").cast("timestamp")))
     bars = bars.withColumn("x", F.when(F.col("trades") % 2 == 0, F.col("close")))
     o = spark.read.parquet(f"{sf}/orders.parquet")
     expected = (
         o.select(F.col("o_orderpriority").alias("series_id"), F.lit(5).alias("max_days")).distinct()
         .unionByName(o.select(F.concat(F.lit("x"), "o_orderstatus").alias("series_id"), F.lit(9).alias("max_days")).distinct())
     )
-    return C.freshness(bars, expected, "1998-08-05", "x", BARS_1D)
+    return C.freshness(bars, expected, "2001-08-05", "x", BARS_1D)
 
 
 @query(
     "coverage_audit",
     "series_id start:t until:t rows:i late_days:i verdict",
     f"""{BARS_1D_SQL}, s AS (SELECT series_id, min(ts) AS start, max(ts) AS until, count(*) AS rows FROM bars GROUP BY 1),
-    n AS (SELECT DISTINCT o_orderpriority AS series_id, CASE WHEN o_orderpriority = '1-URGENT' THEN TIMESTAMP '1991-06-01' ELSE TIMESTAMP '1990-01-01' END AS nat FROM orders),
-    l AS (SELECT *, date_diff('day', greatest(TIMESTAMP '1991-12-01', nat), start) AS late_days FROM s JOIN n USING (series_id)),
+    n AS (SELECT DISTINCT o_orderpriority AS series_id, CASE WHEN o_orderpriority = '1-URGENT' THEN TIMESTAMP '1995-01-01' ELSE TIMESTAMP '1990-01-01' END AS nat FROM orders),
+    l AS (SELECT *, date_diff('day', greatest(TIMESTAMP '1994-11-15', nat), start) AS late_days FROM s JOIN n USING (series_id)),
     t AS (SELECT *, CASE WHEN late_days <= 5 THEN 'ok' WHEN late_days <= 90 THEN 'warn' ELSE 'bad' END AS verdict FROM l)""",
 )
 def _(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
-    natural = F.when(F.col("o_orderpriority") == "1-URGENT", "1991-06-01").otherwise("1990-01-01").cast("timestamp")
+    natural = F.when(F.col("o_orderpriority") == "1-URGENT", "1995-01-01").otherwise("1990-01-01").cast("timestamp")
     targets = o.select(F.col("o_orderpriority").alias("series_id"), natural.alias("natural_start")).distinct()
-    return C.coverage(bars_1d(spark, sf), targets, "1991-12-01", BARS_1D)
+    return C.coverage(bars_1d(spark, sf), targets, "1994-11-15", BARS_1D)
 
 
 @query(

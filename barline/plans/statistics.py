@@ -243,7 +243,7 @@ def _(spark, sf):
     return quarters.unionByName(S.period_stats(x, "ts", "r", "half").withColumn("unit", F.lit("half")))
 
 
-RANGES = [("early", "1992-01-01", "1995-12-31"), ("middle", "1995-01-01", "1997-12-31"), ("late", "1997-06-01", "2002-01-01")]
+RANGES = [("early", "1995-01-01", "1997-12-31"), ("middle", "1997-01-01", "1999-12-31"), ("late", "1999-06-01", "2002-01-01")]
 
 
 @query(
@@ -374,7 +374,7 @@ def _(spark, sf):
     return S.corr_change(r1d(spark, sf), "r", "volume", "ts", "1997-01-01", ["series_id"])
 
 
-CHOW_DATES = ["1994-06-01", "1996-06-01", "1999-06-01", "2030-01-01"]
+CHOW_DATES = ["1996-06-01", "1998-06-01", "2000-06-01", "2030-01-01"]
 
 
 def _rss(cond: str) -> str:

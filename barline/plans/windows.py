@@ -349,8 +349,8 @@ def _(spark, sf):
     f AS (SELECT * , {lag('c')} AS pc FROM c),
     t AS (SELECT series_id, count(c) AS n, avg(c) AS mean, stddev_samp(c) AS std,
       avg((abs(c) > 0.2)::INT) AS share_strong, avg((c > 0)::INT) AS share_positive,
-      coalesce(sum((sign(c) <> sign(pc))::INT), 0) AS flips, avg(c) FILTER (WHERE ts < TIMESTAMP '1995-01-01') AS pre,
-      avg(c) FILTER (WHERE ts >= TIMESTAMP '1995-01-01') AS post FROM f GROUP BY 1)""",
+      coalesce(sum((sign(c) <> sign(pc))::INT), 0) AS flips, avg(c) FILTER (WHERE ts < TIMESTAMP '1998-01-01') AS pre,
+      avg(c) FILTER (WHERE ts >= TIMESTAMP '1998-01-01') AS post FROM f GROUP BY 1)""",
 )
 def _(spark, sf):
     from barline.operators.stats import corr_summary
@@ -358,7 +358,7 @@ def _(spark, sf):
     df = over_series(
         bars_1d(spark, sf), BARS_1D, {"r": R.log_return("close")}, {"c": R.roll_corr("r", "volume", 30)}, {"_prev": R.lagged("c")}
     )
-    return corr_summary(df, "c", "_prev", ["series_id"], "ts", "1995-01-01")
+    return corr_summary(df, "c", "_prev", ["series_id"], "ts", "1998-01-01")
 
 
 @query(
