@@ -20,6 +20,7 @@ from barline.ranks import range_of
 CHUNK = "_chunk"
 HOME = "_home"
 BLOCK = "_block"
+ROW = "_row_in_chunk"
 
 DAY = 86_400
 HOUR = 3_600
@@ -85,10 +86,26 @@ class Grid:
 
 @dataclass(frozen=True)
 class SeriesWindow:
-    """Frame factory handed to window functions."""
+    """Frame factory handed to window functions.
+
+    Aggregates asked for through ``agg`` and ``lag`` become helper columns of the stage, so one
+    that several functions share (a count, a mean) is computed once.
+    """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    shared: dict = field(default_factory=dict)
+
+    def _share(self, c: Column, frame: tuple, spec: WindowSpec) -> Column:
+        name, _ = self.shared.setdefault((str(c), frame), (f"_w{len(self.shared)}", c.over(spec)))
+        return F.col(name)
+
+    def agg(self, c: Column, lo: int, hi: int = 0) -> Column:
+        """An aggregate over the rows from ``lo`` to ``hi`` (0 is the current row)."""
+        return self._share(c, (lo, hi), self.between(lo, hi))
+
+    def lag(self, c: Column, k: int) -> Column:
+        return self._share(F.lag(c, k), (), self.spec)
 
     @property
     def spec(self) -> WindowSpec:
@@ -104,11 +121,15 @@ class SeriesWindow:
 
 @dataclass(frozen=True)
 class Roll:
-    """A window function together with the number of rows it reaches back and ahead."""
+    """A window function together with the number of rows it reaches back and ahead.
+
+    With ``needs_row`` it finds the row's number within its chunk in the column ``ROW``.
+    """
 
     build: Callable[[SeriesWindow], Column]
     back: int = 0
     ahead: int = 0
+    needs_row: bool = False
 
 
 def _all(conditions) -> Column:
@@ -166,14 +187,18 @@ def over_series(
     back = sum(max((f.back for f in st.values() if isinstance(f, Roll)), default=0) for st in stages)
     ahead = sum(max((f.ahead for f in st.values() if isinstance(f, Roll)), default=0) for st in stages)
     out = with_halo(df, grid, back, ahead)
-    w = SeriesWindow((*grid.key, CHUNK), tuple(grid.order))
+    numbered_rows = any(f.needs_row for st in stages for f in st.values() if isinstance(f, Roll))
+    if numbered_rows:
+        spec = SeriesWindow((*grid.key, CHUNK), tuple(grid.order)).spec
+        out = out.withColumn(ROW, F.row_number().over(spec).cast("double"))
     for stage in stages:
-        out = out.withColumns(
-            {name: f.build(w) if isinstance(f, Roll) else f for name, f in stage.items()}
-        )
+        w = SeriesWindow((*grid.key, CHUNK), tuple(grid.order))
+        built = {name: f.build(w) if isinstance(f, Roll) else f for name, f in stage.items()}
+        helpers = dict(w.shared.values())
+        out = out.withColumns(helpers).withColumns(built).drop(*helpers)
     if back or ahead:
         out = out.filter(F.col(CHUNK) == F.col(HOME))
-    out = out.drop(HOME)
+    out = out.drop(HOME, ROW)
     return out if keep_chunk else out.drop(CHUNK)
 
 

@@ -180,7 +180,7 @@ def score_regimes(df: DataFrame, grid: Grid, columns: list[str], params: dict, n
         return F.array(*[F.greatest(*[acc[i] + math.log(max(a[i][j], 1e-300)) for i in range(k)]) + ll[j] for j in range(k)])
 
     def folded(w, start, step) -> Column:
-        seq = F.collect_list("_ll").over(w.last(n))
+        seq = w.agg(F.collect_list("_ll"), 1 - n)
         first = start(F.element_at(seq, 1))
         return F.when(F.col("_ll").isNotNull(), F.aggregate(F.slice(seq, 2, n), first, step))
 

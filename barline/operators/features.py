@@ -53,15 +53,13 @@ def _merge(*stages: dict) -> dict:
 
 
 def daily_features(df: DataFrame, grid: Grid, p: DailyParams = DailyParams(), drop_burnin: bool = True) -> DataFrame:
-    """The 30 daily columns in four window stages over one shuffle."""
+    """The daily columns: all window stages share one shuffle and one sort."""
     er = R.efficiency_ratio("close", p.er)
     rsi_move, rsi_s = R.rsi("close", p.rsi_short)
     rsi_l = R.rsi("close", p.rsi_long)[1]
-    macd = R.macd_stages("close", *p.macd)
     first = _merge(
         rsi_move,
         er[0],
-        macd[0],
         {
             "log_return": R.log_return("close"),
             "ret_short": R.ret("close", p.ret_short),
@@ -87,7 +85,6 @@ def daily_features(df: DataFrame, grid: Grid, p: DailyParams = DailyParams(), dr
     )
     second = _merge(
         er[1],
-        macd[1],
         rsi_s,
         rsi_l,
         {
@@ -95,20 +92,17 @@ def daily_features(df: DataFrame, grid: Grid, p: DailyParams = DailyParams(), dr
             "vol_long": R.roll_std("log_return", p.vol_long),
             "skew_30d": R.roll_skew("log_return", p.skew),
             "kurt_30d": R.roll_kurt("log_return", p.kurt),
-            "hurst_30d": R.hurst("log_return", p.hurst),
             "atr_14_norm": R.atr("_tr", "close", p.atr),
         },
     )
-    third = _merge(
-        macd[2],
-        {
-            "er_10d": er[2]["er"],
-            "vol_ratio": R.vol_ratio("vol_short", "vol_long"),
-            "rsi_14_z": (F.col(f"rsi_{p.rsi_short}") - 50) / 20,
-        },
-    )
-    out = over_series(df, grid, first, second, third, macd[3])
-    out = out.drop("_change", "_net_move", "_step", "_path", "_fast", "_slow", "_macd", "_signal", "_tr")
+    third = {
+        "er_10d": er[2]["er"],
+        "vol_ratio": R.vol_ratio("vol_short", "vol_long"),
+        "rsi_14_z": (F.col(f"rsi_{p.rsi_short}") - 50) / 20,
+    }
+    hurst = [{}, *R.hurst_stages("log_return", p.hurst, "hurst_30d")]
+    out = over_series(df, grid, *R.merged([first, second, third], R.macd_stages("close", *p.macd), hurst))
+    out = out.drop(*[c for c in out.columns if c.startswith("_")], "ema_fast", "ema_slow")
     return out.na.drop("any", subset=MODEL_INPUT) if drop_burnin else out
 
 
@@ -412,7 +406,6 @@ def spec_features(df: DataFrame, grid: Grid) -> DataFrame:
     r = "log_return_1d"
     second: dict = {"_abs": F.abs(r), "_lag1": R.lagged(r, 1), "_lag7": R.lagged(r, 7)}
     second |= {f"volatility_{n}d": R.roll_std(r, n) for n in (7, 21, 63)}
-    second |= {f"hurst_exponent_{n}d": R.hurst(r, n) for n in (21, 63)}
     for n in (7, 21):
         hi, low = F.col(f"_hi_{n}"), F.col(f"_lo_{n}")
         second |= {
@@ -422,7 +415,8 @@ def spec_features(df: DataFrame, grid: Grid) -> DataFrame:
         }
     third: dict = {f"realized_volatility_{n}d": R.roll_sum("_abs", n) for n in (7, 21)}
     third |= {"autocorr_return_1d": R.roll_corr(r, "_lag1", 21), "autocorr_return_7d": R.roll_corr(r, "_lag7", 63)}
-    out = over_series(out, grid, first, second, third)
+    hurst = [[{}, *R.hurst_stages(r, n, f"hurst_exponent_{n}d")] for n in (21, 63)]
+    out = over_series(out, grid, *R.merged([first, second, third], *hurst))
     return out.drop(*[x for x in out.columns if x.startswith("_")])
 
 

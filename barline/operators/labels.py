@@ -11,15 +11,14 @@ from barline.grid import Roll, SeriesWindow
 
 def _ahead(x, h: int, agg) -> Roll:
     def build(w: SeriesWindow) -> Column:
-        frame = w.between(1, h)
-        return F.when(F.count(col(x)).over(frame) >= h, agg(col(x)).over(frame))
+        return F.when(w.agg(F.count(col(x)), 1, h) >= h, w.agg(agg(col(x)), 1, h))
 
     return Roll(build, ahead=h)
 
 
 def fwd_return(x, h: int) -> Roll:
     """x[+h] / x - 1."""
-    return Roll(lambda w: safe_div(F.lead(col(x), h).over(w.spec), x) - 1.0, ahead=h)
+    return Roll(lambda w: safe_div(w.lag(col(x), -h), x) - 1.0, ahead=h)
 
 
 def fwd_sum(x, h: int) -> Roll:
@@ -51,7 +50,7 @@ def first_touch(level: Column, seen: str, time: str, n: int, above: bool = True)
     """Minutes until ``seen`` first reaches ``level`` within the next n rows; null if it never does."""
 
     def build(w: SeriesWindow) -> Column:
-        pairs = F.collect_list(F.struct(F.col(time).alias("t"), F.col(seen).alias("v"))).over(w.between(1, n))
+        pairs = w.agg(F.collect_list(F.struct(F.col(time).alias("t"), F.col(seen).alias("v"))), 1, n)
         hits = F.filter(pairs, lambda e: (e.v >= level) if above else (e.v <= level))
         hit = F.try_element_at(hits, F.lit(1))
         return (F.unix_seconds(hit.t) - F.unix_seconds(F.col(time))) / 60.0

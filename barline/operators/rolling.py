@@ -6,13 +6,14 @@ holds ``least`` non-null rows (default: the whole window).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from barline.functions.mathx import clip, col, safe_div
-from barline.grid import Roll, SeriesWindow
+from barline.grid import ROW, Roll, SeriesWindow
 
 
 def _rolled(x, n: int, agg: Callable[[Column], Column], least: int | None = None) -> Callable[[SeriesWindow], Column]:
@@ -21,8 +22,7 @@ def _rolled(x, n: int, agg: Callable[[Column], Column], least: int | None = None
     need = n if least is None else least
 
     def build(w: SeriesWindow) -> Column:
-        frame = w.last(n)
-        return F.when(F.count(x).over(frame) >= need, agg(x).over(frame))
+        return F.when(w.agg(F.count(x), 1 - n) >= need, w.agg(agg(x), 1 - n))
 
     return build
 
@@ -35,20 +35,20 @@ def _roll(x, n: int, agg, least: int | None = None) -> Roll:
 
 
 def lagged(x, k: int = 1) -> Roll:
-    return Roll(lambda w: F.lag(col(x), k).over(w.spec), back=k)
+    return Roll(lambda w: w.lag(col(x), k), back=k)
 
 
 def diff(x, k: int = 1) -> Roll:
-    return Roll(lambda w: col(x) - F.lag(col(x), k).over(w.spec), back=k)
+    return Roll(lambda w: col(x) - w.lag(col(x), k), back=k)
 
 
 def log_return(x, k: int = 1) -> Roll:
-    return Roll(lambda w: F.ln(safe_div(x, F.lag(col(x), k).over(w.spec))), back=k)
+    return Roll(lambda w: F.ln(safe_div(x, w.lag(col(x), k))), back=k)
 
 
 def ret(x, k: int = 1) -> Roll:
     """Simple k-row return without filling nulls; also the rate of change."""
-    return Roll(lambda w: safe_div(x, F.lag(col(x), k).over(w.spec)) - 1.0, back=k)
+    return Roll(lambda w: safe_div(x, w.lag(col(x), k)) - 1.0, back=k)
 
 
 def pct_change(filled, k: int = 1) -> Roll:
@@ -94,10 +94,10 @@ def roll_skew(x, n: int) -> Roll:
     """Bias-corrected skewness; 0 for a constant frame."""
 
     def build(w: SeriesWindow) -> Column:
-        frame, c = w.last(n), col(x)
-        k = F.count(c).over(frame).cast("double")
-        g = F.skewness(c).over(frame)
-        flat = F.var_pop(c).over(frame) == 0
+        c = col(x)
+        k = w.agg(F.count(c), 1 - n).cast("double")
+        g = w.agg(F.skewness(c), 1 - n)
+        flat = w.agg(F.var_pop(c), 1 - n) == 0
         corrected = g * F.sqrt(k * (k - 1)) / (k - 2)
         return F.when(k >= max(n, 3), F.when(flat, F.lit(0.0)).otherwise(corrected))
 
@@ -108,10 +108,10 @@ def roll_kurt(x, n: int) -> Roll:
     """Bias-corrected excess kurtosis; -3 for a constant frame."""
 
     def build(w: SeriesWindow) -> Column:
-        frame, c = w.last(n), col(x)
-        k = F.count(c).over(frame).cast("double")
-        g = F.kurtosis(c).over(frame)
-        flat = F.var_pop(c).over(frame) == 0
+        c = col(x)
+        k = w.agg(F.count(c), 1 - n).cast("double")
+        g = w.agg(F.kurtosis(c), 1 - n)
+        flat = w.agg(F.var_pop(c), 1 - n) == 0
         corrected = ((k + 1) * g + 6) * (k - 1) / ((k - 2) * (k - 3))
         return F.when(k >= max(n, 4), F.when(flat, F.lit(-3.0)).otherwise(corrected))
 
@@ -140,9 +140,8 @@ def roll_corr(x, y, n: int, least: int | None = None) -> Roll:
     a, b = _paired(x, y)
 
     def build(w: SeriesWindow) -> Column:
-        frame = w.last(n)
-        r = F.corr(a, b).over(frame)
-        return F.when((F.count(a).over(frame) >= (n if least is None else least)) & ~F.isnan(r), r)
+        r = w.agg(F.corr(a, b), 1 - n)
+        return F.when((w.agg(F.count(a), 1 - n) >= (n if least is None else least)) & ~F.isnan(r), r)
 
     return Roll(build, back=n - 1)
 
@@ -153,8 +152,7 @@ def roll_beta(y, x, n: int) -> Roll:
     var = _rolled(x, n, F.var_samp)
 
     def build(w: SeriesWindow) -> Column:
-        frame = w.last(n)
-        cov = F.when(F.count(a).over(frame) >= n, F.covar_samp(a, b).over(frame))
+        cov = F.when(w.agg(F.count(a), 1 - n) >= n, w.agg(F.covar_samp(a, b), 1 - n))
         v = var(w)
         return F.when(v > 0, cov / v)
 
@@ -200,8 +198,8 @@ def ma_ratio(x, fast: int, slow: int) -> Roll:
 
 def efficiency_ratio(x, n: int) -> list[dict[str, Roll | Column]]:
     """Net move over path length; 0 in the burn-in and on a flat path."""
-    step = Roll(lambda w: F.abs(col(x) - F.lag(col(x), 1).over(w.spec)), back=1)
-    move = Roll(lambda w: F.abs(col(x) - F.lag(col(x), n).over(w.spec)), back=n)
+    step = Roll(lambda w: F.abs(col(x) - w.lag(col(x), 1)), back=1)
+    move = Roll(lambda w: F.abs(col(x) - w.lag(col(x), n)), back=n)
     path = roll_sum("_step", n)
     ratio = F.when(F.col("_path") > 0, F.col("_net_move") / F.col("_path")).otherwise(F.lit(0.0))
     return [{"_step": step, "_net_move": move}, {"_path": path}, {"er": ratio}]
@@ -211,21 +209,15 @@ def roll_slope(x, n: int, norm: str = "raw") -> Roll:
     """Least-squares slope per row over n rows: raw, over the last value, or over the mean."""
 
     def build(w: SeriesWindow) -> Column:
-        frame, c = w.last(n), col(x)
-        # Rows are evenly spaced, so the slope needs only sums of x weighted by distance to now.
-        ys = F.collect_list(c).over(frame)
-        mid = (n - 1) / 2.0
-        num = F.aggregate(
-            F.transform(ys, lambda v, i: v * (i - F.lit(mid))), F.lit(0.0), lambda a, v: a + v
-        )
-        slope = num / F.lit(n * (n * n - 1) / 12.0)
+        c = col(x)
+        slope = w.agg(F.regr_slope(c, F.col(ROW)), 1 - n)
         if norm == "last":
             slope = F.when(c == 0, F.lit(0.0)).otherwise(safe_div(slope, c))
         elif norm == "mean":
-            slope = safe_div(slope, F.avg(c).over(frame))
-        return F.when(F.count(c).over(frame) >= n, slope)
+            slope = safe_div(slope, w.agg(F.avg(c), 1 - n))
+        return F.when(w.agg(F.count(c), 1 - n) >= n, slope)
 
-    return Roll(build, back=n - 1)
+    return Roll(build, back=n - 1, needs_row=True)
 
 
 def cross_up(fast: str, slow: str) -> Roll:
@@ -233,7 +225,7 @@ def cross_up(fast: str, slow: str) -> Roll:
 
     def build(w: SeriesWindow) -> Column:
         above = F.col(fast) > F.col(slow)
-        was = F.lag(above, 1).over(w.spec)
+        was = w.lag(above, 1)
         return F.coalesce((above & ~was).cast("double"), F.lit(0.0))
 
     return Roll(build, back=1)
@@ -288,7 +280,7 @@ def true_range(high="high", low="low", close="close") -> Roll:
     """Largest of the bar range and the gaps to the previous close; the first bar has no gap."""
 
     def build(w: SeriesWindow) -> Column:
-        before = F.lag(col(close), 1).over(w.spec)
+        before = w.lag(col(close), 1)
         h, lo = col(high), col(low)
         return F.greatest(h - lo, F.abs(h - before), F.abs(lo - before))
 
@@ -316,77 +308,98 @@ def rolling_expr(x, n: int, f: Callable[[Column], Column], least: int | None = N
     need = n if least is None else least
 
     def build(w: SeriesWindow) -> Column:
-        values = F.collect_list(col(x)).over(w.last(n))
+        values = w.agg(F.collect_list(col(x)), 1 - n)
         return F.when(F.size(values) >= need, f(values))
 
     return Roll(build, back=n - 1)
 
 
-def _mean_of(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+def hurst_stages(x: str, n: int, name: str) -> list[dict[str, Roll]]:
+    """Rescaled-range exponent ln(R/S)/ln(n) as ``name``; 0.5 for short or flat frames.
+
+    With e[k] the sum of x before the frame's k-th row and m the frame mean, the cumulative
+    deviations are e[k] - e[0] - k m. They are spelled out, because element access compiles to
+    plain arithmetic while a lambda over the array is interpreted per element.
+    """
+    total, sums = f"_sum_{x}", f"_sums_{name}"
+
+    def before(w: SeriesWindow) -> Column:
+        return F.coalesce(F.sum(x).over(w.spec.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
 
+    def build(w: SeriesWindow) -> Column:
+        dev = w.agg(F.stddev_pop(F.col(x)), 1 - n)
+        value = F.ln(safe_div(F.col(spread), dev)) / math.log(n)
+        flat = F.lit(n < 10) | (dev == 0) | (F.col(spread) == 0)
+        return F.when(w.agg(F.count(F.col(x)), 1 - n) >= n, F.when(flat, F.lit(0.5)).otherwise(value))
+
+    first, mean, path, spread = (f"_{k}_{name}" for k in ("first", "mean", "path", "spread"))
+    frame = Roll(lambda w: w.agg(F.collect_list(F.col(total)), 1 - n), back=n - 1)
+    e0 = F.get(F.col(sums), 0)
+    steps = [F.get(F.col(sums), k) - F.col(first) - F.col(mean) * k for k in range(1, n)]
+    return [
+        {total: Roll(before)},
+        {sums: frame},
+        {first: e0, mean: (F.get(F.col(sums), n - 1) + F.col(x) - e0) / n},
+        {path: F.array(F.lit(0.0), *steps)},
+        {spread: F.array_max(path) - F.array_min(path)},
+        {name: Roll(build, back=n - 1)},
+    ]
 
-def hurst(x, n: int) -> Roll:
-    """Rescaled-range exponent ln(R/S)/ln(n); 0.5 for short or flat frames."""
 
-    def of(values: Column) -> Column:
-        size = F.size(values)
-        start = F.struct(
-            F.lit(0.0).alias("s"), F.lit(0.0).alias("hi"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("q"),
-            F.lit(True).alias("first"), _mean_of(values).alias("m"),
-        )
+RADIX = 8
 
-        def step(a: Column, v: Column) -> Column:
-            d = v - a.m
-            s = a.s + d
-            return F.struct(
-                s.alias("s"),
-                F.when(a.first, s).otherwise(F.greatest(a.hi, s)).alias("hi"),
-                F.when(a.first, s).otherwise(F.least(a.lo, s)).alias("lo"),
-                (a.q + d * d).alias("q"),
-                F.lit(False).alias("first"),
-                a.m.alias("m"),
-            )
 
-        def finish(a: Column) -> Column:
-            spread, dev = a.hi - a.lo, F.sqrt(a.q / size)
-            flat = (size < 10) | (spread == 0) | (dev == 0)
-            return F.when(flat, F.lit(0.5)).otherwise(F.ln(safe_div(spread, dev)) / F.ln(size.cast("double")))
+def ewm_stages(x: str, span: int, name: str, tolerance: float = 1e-15) -> list[dict[str, Roll | Column]]:
+    """Exponential mean with weight a = 2/(span+1), seeded with the first value, as ``name``.
 
-        return F.aggregate(values, start, step, finish)
+    The mean is a sum of a(1-a)^j x[-j]. Each stage widens the sum eightfold from seven lags of
+    the stage before, so a row costs a few lags instead of a pass over its whole past. It stops
+    where older weights fall below ``tolerance``; nearer to the series start it is exact.
+    ``x`` must have no nulls.
+    """
+    a = 2.0 / (span + 1.0)
+    keep = 1.0 - a
+    reach = math.ceil(math.log(tolerance) / math.log(keep)) if keep > 0 else 1
+    steps = max(1, math.ceil(math.log(reach, RADIX) - 1e-9))
 
-    return rolling_expr(x, n, of)
+    def widen(source: Column | None, k: int) -> Roll:
+        hop = RADIX**k
 
+        def term(w: SeriesWindow, m: int) -> Column:
+            if source is not None:
+                return F.coalesce(w.lag(source, m * hop), F.lit(0.0)) if m else source
+            # The first value of the series carries its full weight.
+            now = w.lag(col(x), m) if m else col(x)
+            return F.coalesce(F.when(w.lag(col(x), m + 1).isNull(), now).otherwise(now * a), F.lit(0.0))
 
-def ewm(x, span: int, tolerance: float = 1e-15) -> Roll:
-    """Exponential mean with weight 2/(span+1), seeded with the first value.
+        def build(w: SeriesWindow) -> Column:
+            total = term(w, 0)
+            for m in range(1, RADIX):
+                total = total + term(w, m) * keep ** (m * hop)
+            return total
 
-    The frame is cut where older weights fall below ``tolerance``, so it is a bounded window;
-    rows nearer to the series start are exact.
-    """
-    import math
+        return Roll(build, back=RADIX * hop if source is None else (RADIX - 1) * hop)
 
-    a = 2.0 / (span + 1.0)
-    reach = max(1, math.ceil(math.log(tolerance) / math.log(1.0 - a)))
+    names = [f"_{name}_{k}" for k in range(steps - 1)] + [name]
+    return [{names[k]: widen(F.col(names[k - 1]) if k else None, k)} for k in range(steps)]
 
-    def build(w: SeriesWindow) -> Column:
-        values = F.collect_list(col(x)).over(w.last(reach + 1))
-        return F.when(
-            col(x).isNotNull(),
-            F.aggregate(
-                F.slice(values, 2, reach), F.element_at(values, 1), lambda acc, v: acc * (1.0 - a) + v * a
-            ),
-        )
 
-    return Roll(build, back=reach)
+def merged(*runs: list[dict]) -> list[dict]:
+    """Several stage lists side by side: stage i of the result holds stage i of each."""
+    out: list[dict] = [{} for _ in range(max(len(r) for r in runs))]
+    for r in runs:
+        for i, stage in enumerate(r):
+            out[i] |= stage
+    return out
 
 
 def macd_stages(x: str, fast: int = 12, slow: int = 26, signal: int = 9) -> list[dict[str, Roll | Column]]:
-    """MACD histogram over the price, in three stages."""
+    """MACD histogram over the price; also gives ``ema_fast`` and ``ema_slow``."""
+    averages = merged(ewm_stages(x, fast, "ema_fast"), ewm_stages(x, slow, "ema_slow"))
     return [
-        {"_fast": ewm(x, fast), "_slow": ewm(x, slow)},
-        {"_macd": F.col("_fast") - F.col("_slow")},
-        {"_signal": ewm("_macd", signal)},
+        *averages,
+        {"_macd": F.col("ema_fast") - F.col("ema_slow")},
+        *ewm_stages("_macd", signal, "_signal"),
         {"macd_hist_norm": safe_div(F.col("_macd") - F.col("_signal"), x)},
     ]
 
@@ -399,11 +412,10 @@ def roll_pct_rank(x, n: int) -> Roll:
     """
 
     def build(w: SeriesWindow) -> Column:
-        before = w.between(-(n - 1), -1)
-        below = F.size(F.filter(F.collect_list(col(x)).over(before), lambda v: v < col(x)))
-        rows = F.count(F.lit(1)).over(before)
+        below = F.size(F.filter(w.agg(F.collect_list(col(x)), 1 - n, -1), lambda v: v < col(x)))
+        rows = w.agg(F.count(F.lit(1)), 1 - n, -1)
         share = F.when(col(x).isNull(), F.lit(0.0)).otherwise(below / rows)
-        return F.when((F.count(col(x)).over(w.last(n)) >= 2) & (rows > 0), share)
+        return F.when((w.agg(F.count(col(x)), 1 - n) >= 2) & (rows > 0), share)
 
     return Roll(build, back=n - 1)
 
@@ -412,7 +424,7 @@ def run_starts(state: str) -> Roll:
     """True on the first row of a run of equal states; nulls break runs."""
 
     def build(w: SeriesWindow) -> Column:
-        same = F.lag(state, 1).over(w.spec).eqNullSafe(F.col(state))
+        same = w.lag(F.col(state), 1).eqNullSafe(F.col(state))
         return F.col(state).isNotNull() & ~same
 
     return Roll(build, back=1)

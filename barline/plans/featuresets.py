@@ -260,7 +260,7 @@ SPEC6 = (
 
 @query(
     "specified_features",
-    "series_id ts price_ma_63d:4 price_slope_63d:4 " + " ".join(f"{c}:6" for c in SPEC6.split()),
+    "series_id ts price_ma_63d:4 price_slope_63d:2 " + " ".join(f"{c}:6" for c in SPEC6.split()),
     f"""{BARS_1D_SQL}, a AS (SELECT *, ln(close / {lag('close')}) AS log_return_1d, abs(close - open) / nullif(high - low, 0) AS candle_body_ratio,
       (high - greatest(open, close)) / nullif(high - low, 0) + (least(open, close) - low) / nullif(high - low, 0) AS shadow, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS n,
       taker_buy_quote_volume / nullif(quote_volume, 0) AS bp, trades::DOUBLE AS tr FROM bars),

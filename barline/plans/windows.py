@@ -191,7 +191,7 @@ HURST_SQL = """(CASE WHEN len(l) >= {n} THEN (SELECT CASE WHEN mx = mn OR s = 0
     t AS (SELECT b.series_id, b.ts, g.hurst_30 FROM r1 b LEFT JOIN g USING (series_id, ts))""",
 )
 def _(spark, sf):
-    return over_series(bars_1d(spark, sf), BARS_1D, {"r": R.log_return("close")}, {"hurst_30": R.hurst("r", 30)})
+    return over_series(bars_1d(spark, sf), BARS_1D, {"r": R.log_return("close")}, *R.hurst_stages("r", 30, "hurst_30"))
 
 
 @query(
@@ -276,7 +276,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     stages = R.macd_stages("close")
-    return over_series(bars_1d(spark, sf), BARS_1D, *stages).withColumnRenamed("_fast", "ema_12")
+    return over_series(bars_1d(spark, sf), BARS_1D, *stages).withColumnRenamed("ema_fast", "ema_12")
 
 
 @query(
