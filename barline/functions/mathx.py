@@ -36,6 +36,11 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition.cast("double"), F.lit(0.0))
 
 
+def corr_of(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate, null where a side is constant (plain corr raises there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def no_nan(x: str | Column) -> Column:
     x = col(x)
     return F.when(~F.isnan(x), x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.mathx import all_of, any_null, any_of
+from barline.functions.mathx import all_of, any_null, any_of, corr_of
 from barline.grid import Grid, numbered, over_series
 from barline.operators import rolling as R
 from barline.sources.shaping import coerce_double
@@ -234,7 +234,7 @@ def check_probs(df: DataFrame, probabilities: list[str], entropy: str, keys: lis
         F.count(F.lit(1)).alias("rows"),
         F.count_if(e.isNull()).alias("null_entropy"),
         F.count_if((e < -1e-9) | (e > cap + 1e-9)).alias("out_of_range"),
-        F.corr(e, top).alias("corr_with_top"),
+        corr_of(e, top).alias("corr_with_top"),
     )
 
 

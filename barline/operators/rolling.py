@@ -140,8 +140,8 @@ def roll_corr(x, y, n: int, least: int | None = None) -> Roll:
     a, b = _paired(x, y)
 
     def build(w: SeriesWindow) -> Column:
-        r = w.agg(F.corr(a, b), 1 - n)
-        return F.when((w.agg(F.count(a), 1 - n) >= (n if least is None else least)) & ~F.isnan(r), r)
+        r = safe_div(w.agg(F.covar_pop(a, b), 1 - n), w.agg(F.stddev_pop(a), 1 - n) * w.agg(F.stddev_pop(b), 1 - n))
+        return F.when(w.agg(F.count(a), 1 - n) >= (n if least is None else least), r)
 
     return Roll(build, back=n - 1)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.mathx import p_norm, p_t, p_f, safe_div
+from barline.functions.mathx import corr_of, p_norm, p_t, p_f, safe_div
 from barline.grid import Grid, over_series
 from barline.operators import rolling as R
 from barline.ranks import average_ranks, quantiles
@@ -267,8 +267,7 @@ def describe(df: DataFrame, columns: list[str], time: str, by: list[str]) -> Dat
 def _pair_corr(x: Column, y: Column) -> tuple[Column, Column]:
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    r = F.corr(a, b)
-    return F.when(~F.isnan(r), r), F.count(a)
+    return corr_of(a, b), F.count(a)
 
 
 def with_pearson_p(df: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
@@ -300,7 +299,7 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Correlation of tie-averaged ranks over complete pairs."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     ranked = average_ranks(average_ranks(rows, x, by, "_rx"), y, by, "_ry")
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), corr_of(F.col("_rx"), F.col("_ry")).alias("rho"))
 
 
 def lead_lag(df: DataFrame, grid: Grid, x: str, y: str, lags: list[int], by: list[str], least: int = 10) -> DataFrame:

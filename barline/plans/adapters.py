@@ -262,7 +262,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
         BARS_4H,
         {"y": Roll(nxt, ahead=1), "ret": L.fwd_return("close", 6), "r": R.log_return("close")},
     )
-    p, r, ts = F.floor(F.col("taker_buy_quote_volume") / F.col("quote_volume") * 100) / 100, F.col("r"), F.col("ts")
+    p, r, ts = F.floor(F.try_divide("taker_buy_quote_volume", "quote_volume") * 100) / 100, F.col("r"), F.col("ts")
     df = df.select(
         "series_id",
         "ts",

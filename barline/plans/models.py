@@ -97,7 +97,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     states = bars_1d(spark, sf).filter(F.col("trades") % 5 != 0).select(
-        "series_id", "ts", (F.col("taker_buy_quote_volume") / F.col("quote_volume")).alias("p")
+        "series_id", "ts", F.try_divide("taker_buy_quote_volume", "quote_volume").alias("p")
     )
     return S.model_input(features(spark, sf), states, ["series_id", "ts"], "p", ["r", "vol_ratio"])
 

@@ -43,7 +43,7 @@ def indicators(spark, sf):
         move | {"bb": R.bb_position("close", 20), "volume_z": R.zscore("volume", 30), "r": R.log_return("close")},
         strength | {"vol": R.roll_std("r", 6)},
     ).withColumnRenamed("rsi_14", "rsi")
-    p = F.col("taker_buy_quote_volume") / F.col("quote_volume")
+    p = F.try_divide("taker_buy_quote_volume", "quote_volume")
     df = df.withColumn("p", p)
     a, b = F.greatest("p", F.lit(1e-10)), F.greatest(1 - F.col("p"), F.lit(1e-10))
     return df.withColumns(
