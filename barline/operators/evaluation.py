@@ -12,7 +12,7 @@ from barline.grid import Grid, max_of, over_series, running, sum_of
 from barline.operators import rolling as R
 from barline.operators.joins import cross_grid
 from barline.operators.stats import share
-from barline.ranks import auc, quantiles
+from barline.ranks import RANGE, auc, quantiles, range_of, value_bounds
 
 
 # ---- classification --------------------------------------------------------------------------
@@ -290,15 +290,22 @@ def agreement(a: DataFrame, b: DataFrame, on: list[str], state: str, by: list[st
 def pareto(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rows no other row beats: at least as good in both measures and better in one.
 
-    Input is a table of results (one row per configuration). Points are collapsed to the best b per
-    a; a point stays when its b exceeds every b at a larger a.
+    Points are collapsed to the best b per a. A point stays when its b exceeds every b at a larger
+    a; that maximum is carried over ranges of a, so no task sees all points.
     """
     points = df.groupBy(a).agg(F.max(b).alias("_best"))
-    grid = Window.partitionBy(F.lit(0)).orderBy(F.col(a).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    front = points.withColumn("_beyond", F.max("_best").over(grid)).filter(
-        F.col("_beyond").isNull() | (F.col("_best") > F.col("_beyond"))
+    at = F.col(a).cast("double")
+    points = points.withColumn(RANGE, range_of(at, value_bounds(df, at)))
+    # One row per range of a: at most as many as there are cut points.
+    over_ranges = Window.partitionBy(F.lit(0)).orderBy(F.col(RANGE).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = points.groupBy(RANGE).agg(F.max("_best").alias("_top")).select(
+        RANGE, F.max("_top").over(over_ranges).alias("_carry")
     )
-    return df.join(front.select(a, F.col("_best")), a).filter(F.col(b) == F.col("_best")).drop("_best")
+    inside = Window.partitionBy(RANGE).orderBy(F.col(a).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = F.greatest(F.col("_carry"), F.max("_best").over(inside))
+    front = points.join(carried, RANGE).withColumn("_beyond", beyond)
+    front = front.filter(F.col("_beyond").isNull() | (F.col("_best") > F.col("_beyond"))).select(a, "_best")
+    return df.join(front, a).filter(F.col(b) == F.col("_best")).drop("_best")
 
 
 def rank_configs(df: DataFrame, config: str, metric: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.mathx import clip, col, flag, safe_div
 from barline.operators.joins import asof_shared
-from barline.ranks import quantiles, value_bounds, range_of, RANGE
+from barline.ranks import quantiles, value_bounds, value_cdf
 from barline.grid import Grid
 
 
@@ -203,24 +203,16 @@ def pct_signal(df: DataFrame, train: DataFrame, value: str, by: list[str], hi: f
 def rank_norm(df: DataFrame, train: DataFrame, value: str, by: list[str], name: str = "rank_norm") -> DataFrame:
     """Share of training values at or below each value.
 
-    Training and scored values are merged per value range; only range totals are carried across.
+    Worked out once per distinct value and joined back, so a value shared by very many rows is
+    one row while ranks are carried.
     """
-    bounds = value_bounds(train, F.col(value))
-    a = df.withColumn("_train", F.lit(0))
-    b = train.filter(F.col(value).isNotNull()).select(*by, value, F.lit(1).alias("_train"))
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(RANGE, range_of(F.col(value), bounds))
-    counts = both.groupBy(*by, RANGE).agg(F.sum("_train").alias("_k"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    base = counts.select(
-        *by,
-        RANGE,
-        F.coalesce(F.sum("_k").over(whole.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"),
-        F.sum("_k").over(whole).alias("_total"),
+    known = [F.col(value).isNotNull()]
+    both = df.filter(*known).select(*by, value, F.lit(0).alias("_train")).unionByName(
+        train.filter(*known).select(*by, value, F.lit(1).alias("_train"))
     )
-    upto = Window.partitionBy(*by, RANGE).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    rank = safe_div(F.col("_below") + F.sum("_train").over(upto), "_total")
-    out = both.join(base, [*by, RANGE]).withColumn(name, F.when(F.col(value).isNotNull(), rank))
-    return out.filter("_train = 0").select(*df.columns, name)
+    cdf = value_cdf(both, value, by, {"_k": F.col("_train").cast("long")}, value_bounds(train, F.col(value)))
+    share = safe_div(F.col("_k_below") + F.col("_k"), "_k_total")
+    return df.join(cdf.select(*by, value, share.alias(name)), [*by, value], "left").select(*df.columns, name)
 
 
 def ensemble(df: DataFrame, rule: str, p="p", pred_signal="pct_signal", rank="rank_norm") -> Column:

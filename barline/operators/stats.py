@@ -211,8 +211,10 @@ def value_shares(df: DataFrame, column: str, by: list[str] | None = None) -> Dat
     """Count and share of each value."""
     by = by or []
     counts = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(whole))
+    keys = by or ["_all"]
+    counts = counts if by else counts.withColumn("_all", F.lit(0))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_total"))
+    return counts.join(totals, keys).withColumn("share", F.col("n") / F.col("_total")).drop("_total", "_all")
 
 
 def dominant(df: DataFrame, column: str, by: list[str]) -> DataFrame:
