@@ -248,7 +248,7 @@ ENS_SQL = f"""{SCORES_SQL}, tr AS (SELECT * FROM scores WHERE split = 's1' AND r
 def _(spark, sf):
     sc = scores(spark, sf)
     train, test = sc.filter(F.col("split") == "s1"), sc.filter(F.col("split") != "s1")
-    df = X.rank_norm(X.pct_signal(test, train, "r", ["series_id"]), train, "r", ["series_id"])
+    df = X.pct_signal(X.rank_norm(test, train, "r", ["series_id"]), train, "r", ["series_id"])
     return df.withColumns({"rule_a": X.ensemble(df, "A"), "rule_b": X.ensemble(df, "B"), "rule_c": X.ensemble(df, "C")})
 
 
