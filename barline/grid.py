@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from barline.ranks import range_of
+from barline.ranks import ranged
 
 CHUNK = "_chunk"
 HOME = "_home"
@@ -60,24 +60,27 @@ class Grid:
         at = F.unix_micros(F.col(self.time).cast("timestamp")).cast("double")
         probs = [i / fine for i in range(1, fine)]
         row = hottest.select(F.percentile_approx(at, probs, 100_000).alias("b")).first()
-        return replace(self, cuts=tuple(sorted(set(row.b))))
+        return replace(
+            self, cuts=tuple(sorted(set(row.b))), chunk_rows=target_rows, block_rows=max(1, target_rows // 16)
+        )
 
     def by(self, *extra: str) -> "Grid":
         """The same grid with further key columns."""
         return replace(self, key=self.key + extra)
 
-    def block(self) -> Column:
+    def with_block(self, df: DataFrame) -> DataFrame:
+        """Add the time block of each row."""
+        at = F.col(self.time).cast("timestamp")
         if self.cuts:
-            at = F.unix_micros(F.col(self.time).cast("timestamp")).cast("double")
-            return range_of(at, list(self.cuts)).cast("long")
-        seconds = F.unix_seconds(F.col(self.time).cast("timestamp"))
-        return F.floor(seconds / F.lit(self.step * self.block_rows)).cast("long")
+            return ranged(df, F.unix_micros(at), list(self.cuts), BLOCK)
+        return df.withColumn(BLOCK, F.floor(F.unix_seconds(at) / F.lit(self.step * self.block_rows)).cast("long"))
 
     def chunk_of_block(self, block: Column) -> Column:
         return F.floor(block / F.lit(max(1, self.chunk_rows // self.block_rows))).cast("long")
 
-    def chunk(self) -> Column:
-        return self.chunk_of_block(self.block())
+    def with_chunk(self, df: DataFrame) -> DataFrame:
+        """Add the chunk of each row."""
+        return self.with_block(df).withColumn(CHUNK, self.chunk_of_block(F.col(BLOCK))).drop(BLOCK)
 
     @property
     def order(self) -> list[str]:
@@ -140,9 +143,12 @@ def _all(conditions) -> Column:
 
 
 def with_halo(df: DataFrame, grid: Grid, back: int, ahead: int) -> DataFrame:
-    """Tag rows with their chunk and lend the ``back`` / ``ahead`` neighbouring rows to other chunks."""
+    """Tag rows with their chunk and lend the ``back`` / ``ahead`` neighbouring rows to other chunks.
+
+    A chunk is a run of time blocks with about ``chunk_rows`` rows, so short series stay whole.
+    """
     keys = list(grid.key)
-    df = df.withColumn(BLOCK, grid.block())
+    df = grid.with_block(df)
     if back == 0 and ahead == 0:
         return df.withColumn(CHUNK, grid.chunk_of_block(F.col(BLOCK))).withColumn(HOME, F.col(CHUNK)).drop(BLOCK)
 
@@ -151,7 +157,7 @@ def with_halo(df: DataFrame, grid: Grid, back: int, ahead: int) -> DataFrame:
     blocks = (
         counts.withColumn("_end", F.sum("_n").over(by_block.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_start", F.col("_end") - F.col("_n"))
-        .withColumn(HOME, grid.chunk_of_block(F.col(BLOCK)))
+        .withColumn(HOME, F.floor(F.col("_start") / F.lit(grid.chunk_rows)).cast("long"))
         .withColumn("_next", F.lead(HOME).over(by_block))
         .withColumn("_prev", F.lag(HOME).over(by_block))
     )
@@ -249,7 +255,7 @@ def running(
     """
     keys = list(grid.key)
     if CHUNK not in df.columns:
-        df = df.withColumn(CHUNK, grid.chunk())
+        df = grid.with_chunk(df)
     inputs = {f"_in_{name}": r.column for name, r in values.items()}
     df = df.withColumns(inputs)
     position = F.struct(*grid.order) if grid.tie else F.col(grid.time)

@@ -12,7 +12,7 @@ from barline.grid import Grid, max_of, over_series, running, sum_of
 from barline.operators import rolling as R
 from barline.operators.joins import cross_grid
 from barline.operators.stats import share
-from barline.ranks import RANGE, auc, quantiles, range_of, value_bounds
+from barline.ranks import RANGE, auc, quantiles, ranged, value_bounds
 
 
 # ---- classification --------------------------------------------------------------------------
@@ -295,7 +295,7 @@ def pareto(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     points = df.groupBy(a).agg(F.max(b).alias("_best"))
     at = F.col(a).cast("double")
-    points = points.withColumn(RANGE, range_of(at, value_bounds(df, at)))
+    points = ranged(points, at, value_bounds(df, at), RANGE)
     # One row per range of a: at most as many as there are cut points.
     over_ranges = Window.partitionBy(F.lit(0)).orderBy(F.col(RANGE).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = points.groupBy(RANGE).agg(F.max("_best").alias("_top")).select(

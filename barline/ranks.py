@@ -7,6 +7,9 @@ Any bounds give the exact answer; good bounds only balance the work.
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +23,16 @@ def value_bounds(df: DataFrame, value: Column, ranges: int = 64) -> list[float]:
     return sorted({float(b) for b in (row.b or []) if b == b})
 
 
-def range_of(value: Column, bounds: list[float]) -> Column:
-    """Index of the value range, found with a two-level search over the cut points."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, int(len(bounds) ** 0.5))
-    coarse = bounds[::width]
-    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-
-    def below(cuts: list[float]) -> Column:
-        total = F.lit(0)
-        for cut in cuts:
-            total = total + F.when(value >= F.lit(cut), 1).otherwise(0)
-        return total
-
-    level = below(coarse)
-    fine = F.array(*[F.array(*[F.lit(c) for c in g]) for g in groups])
-    inside = F.size(F.filter(F.element_at(fine, F.greatest(level, F.lit(1))), lambda c: value >= c))
-    return F.when(level == 0, 0).otherwise((level - 1) * width + inside)
+def ranged(df: DataFrame, value: Column, bounds: list[float], name: str) -> DataFrame:
+    """Add the index of each value's range: how many cut points are at or below it (binary search)."""
+    cuts = sorted({b for b in bounds if math.isfinite(b)})
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    search = Bucketizer(
+        splits=[-math.inf, *cuts, math.inf], inputCol="_value", outputCol="_slot", handleInvalid="keep"
+    )
+    found = search.transform(df.withColumn("_value", value.cast("double")))
+    return found.withColumn(name, F.col("_slot").cast("int")).drop("_value", "_slot")
 
 
 def value_cdf(
@@ -58,7 +53,7 @@ def value_cdf(
     if bounds is None:
         bounds = value_bounds(rows, F.col(value))
     distinct = rows.groupBy(*by, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
-    distinct = distinct.withColumn(RANGE, range_of(F.col(value).cast("double"), bounds))
+    distinct = ranged(distinct, F.col(value), bounds, RANGE)
     parts = distinct.groupBy(*by, RANGE).agg(*[F.sum(n).alias(f"_p_{n}") for n in weights])
     # One row per group and range: at most len(bounds)+1 rows share a window partition.
     over_ranges = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

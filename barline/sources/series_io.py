@@ -21,7 +21,7 @@ def write_series(df: DataFrame, path: str, grid: Grid, mode: str = "overwrite")
     Rows are spread by (series, time chunk): a long series is written by many tasks.
     """
     (
-        df.withColumn(CHUNK, grid.chunk())
+        grid.with_chunk(df)
         .repartition(*grid.key, CHUNK)
         .sortWithinPartitions(*grid.key, *grid.order)
         .drop(CHUNK)
