@@ -129,7 +129,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for run in runs or ():
                 gone.update(full[run["first"] : run["last"] + 1])
             texts.append("\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text)
-            counts.append((len(full), len(gone), sum(len(lines[i].split()) for i in gone)))
+            counts.append((len(full), len(gone), sum(len(lines[i].encode().split()) for i in gone)))
         columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
         columns += [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * 3
         yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "__lines", "__removed", "__words"])
