@@ -71,7 +71,7 @@ def _fill(path: str, end_id: int, capacity: int, small: int):
             out.clear()
             return batch
 
-        for batch in slices(batches, most=16 << 20):
+        for batch in slices(batches, most=8 << 20):
             ids, starts = code.ids(take(batch))
             for doc, lo, hi in zip(batch.column("doc_id").to_pylist(), starts[:-1], starts[1:]):
                 whole = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4")

@@ -187,7 +187,7 @@ class Encoder:
     emptied when it is full.
     """
 
-    CACHE = 300_000
+    CACHE = 200_000
     PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
     SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 

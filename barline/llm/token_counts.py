@@ -26,7 +26,7 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
-        for batch in slices(batches, most=16 << 20):
+        for batch in slices(batches, most=8 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(code.lengths(take(batch)), pa.int64())], ["length"])
 
     each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lengths, "length long")
