@@ -44,7 +44,7 @@ NOTICES = (
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Diagonals at most this far apart are merged; share of grams (in percent) and extra words allowed in a span.
-GAP, PERCENT, EXTRA = 2, 80, 4
+GAP, PERCENT, EXTRA = 2, 85, 4
 
 
 def words(text: Column) -> Column:
@@ -89,7 +89,8 @@ def spans(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("whole"), F.col("diagonal"))).cast("bigint").alias("last_place"),
     )
     share = F.bit_count("votes") / F.col("grams")
-    close = (F.bit_count("votes") * 100 >= F.col("grams") * PERCENT) & (F.col("last_word") - F.col("first_word") <= F.col("grams") + 1 + EXTRA)
+    ends = F.expr("shiftright(votes, CAST(grams - 1 AS INT)) & 1") == 1
+    close = ends & (F.bit_count("votes") * 100 >= F.col("grams") * PERCENT) & (F.col("last_word") - F.col("first_word") <= F.col("grams") + 1 + EXTRA)
     found = (F.col("places") > 0) | (~F.col("base") & close)
     return merged.where(found).select("doc_id", "key", "label", "base", "first_word", "last_word", "places", "first_place", "last_place", share.alias("share"))
 

@@ -136,12 +136,12 @@ f AS (
     coalesce((diagonal - lag(diagonal) OVER (PARTITION BY doc_id, label ORDER BY diagonal) > {license_scan.GAP})::INT, 1) AS fresh FROM l),
 k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, label ORDER BY diagonal) AS cluster FROM f),
 m AS (
-  SELECT doc_id, label, base, grams, cluster, bit_count(bit_or(votes)) AS got, max(high) - min(low) AS size, sum(whole::INT) AS places,
+  SELECT doc_id, label, base, grams, cluster, bit_or(votes) AS votes, bit_count(bit_or(votes)) AS got, max(high) - min(low) AS size, sum(whole::INT) AS places,
     min(diagonal) FILTER (whole) AS first_place, max(diagonal) FILTER (whole) AS last_place
   FROM k GROUP BY doc_id, label, base, grams, cluster),
 v AS (
   SELECT *, got::DOUBLE / grams AS share FROM m
-  WHERE places > 0 OR (NOT base AND got::BIGINT * 100 >= grams * {license_scan.PERCENT} AND size <= grams + 1 + {license_scan.EXTRA})),
+  WHERE places > 0 OR (NOT base AND (votes >> (grams - 1)::INT) & 1 = 1 AND got::BIGINT * 100 >= grams * {license_scan.PERCENT} AND size <= grams + 1 + {license_scan.EXTRA})),
 r AS (
   SELECT doc_id, sum(places) FILTER (base) AS n_base, min(first_place) FILTER (base) AS first_word, max(last_place) FILTER (base) AS last_word,
     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
