@@ -24,6 +24,8 @@ ROW = "_row_in_chunk"
 
 DAY = 86_400
 HOUR = 3_600
+#: Chunks that a fitted grid has at most; its cut points are kept in the plan.
+MOST_CHUNKS = 1_024
 
 
 @dataclass(frozen=True)
@@ -43,23 +45,22 @@ class Grid:
     cuts: tuple[float, ...] = ()
 
     def fit(self, df: DataFrame, target_rows: int = 2_000_000) -> "Grid":
-        """A grid whose chunks hold about ``target_rows`` rows of the longest series.
+        """A grid whose chunks hold about ``target_rows`` rows of all long series together.
 
-        For tables whose rows are not on a regular grid (ticks, events). Where the longest series
-        is larger than one chunk, its time quantiles become the chunk borders, however bursty it
-        is. Only the cut points reach the driver.
+        For tables whose rows are not on a regular grid (ticks, events). The time quantiles of the
+        series longer than one chunk become the chunk borders, however bursty they are and
+        wherever in time each of them lies. Only the cut points reach the driver.
         """
-        per_key = df.groupBy(*self.key).agg(F.count(F.lit(1)).alias("_n"))
-        top = per_key.agg(F.max_by(F.struct(*self.key), "_n").alias("k"), F.max("_n").alias("n")).first()
-        if not top.n or top.n <= target_rows:
+        per_key = df.groupBy(*self.key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target_rows)
+        rows = per_key.agg(F.sum("_n").alias("n")).first().n
+        if not rows:
             return replace(self, cuts=(float("inf"),))
-        fine = 16 * -(-top.n // target_rows)
-        hottest = df.filter(
-            _all(F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(self.key, top.k))
-        )
+        fine = 16 * min(-(-rows // target_rows), MOST_CHUNKS)
+        keys = per_key.select(*[F.col(c).alias(f"_k_{c}") for c in self.key])
+        long = df.join(keys, _all(F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in self.key), "left_semi")
         at = F.unix_micros(F.col(self.time).cast("timestamp")).cast("double")
         probs = [i / fine for i in range(1, fine)]
-        row = hottest.select(F.percentile_approx(at, probs, 100_000).alias("b")).first()
+        row = long.select(F.percentile_approx(at, probs, 100_000).alias("b")).first()
         return replace(
             self, cuts=tuple(sorted(set(row.b))), chunk_rows=target_rows, block_rows=max(1, target_rows // 16)
         )

@@ -49,7 +49,8 @@ def auc_report(df: DataFrame, y: str, p: str, by: list[str], confident: float =
     sure = auc(df.filter(F.abs(F.col(p) - 0.5) > confident), p, y, by).withColumnsRenamed(
         {"n": "n_sure", "auc": "auc_sure"}
     )
-    out = whole.join(sure, by, "left") if by else whole.join(sure)
+    whole, sure = (d.withColumn("_one", F.lit(1)) for d in (whole, sure))
+    out = whole.join(sure, [*by, "_one"], "left").drop("_one")
     enough = {f"auc_{k}": F.when(F.col(f"n_{k}") >= least, F.col(f"auc_{k}")) for k in ("all", "sure")}
     return out.withColumns({**enough, "baseline": F.lit(0.5), "n_sure": F.coalesce("n_sure", F.lit(0))})
 
@@ -91,9 +92,10 @@ def threshold_sweep(df: DataFrame, y: str, p: str, by: list[str], thresholds: li
 
 
 def recommend_threshold(sweep: DataFrame, by: list[str], coverage: float = 0.20) -> DataFrame:
-    """Best F1 among thresholds with enough coverage; the lowest threshold wins ties."""
+    """Best F1 among thresholds with enough coverage; the lowest threshold wins ties, 0.50 stands in for none."""
     ok = F.when(F.col("coverage") >= coverage, F.struct(F.col("f1"), -F.col("threshold")))
-    return sweep.groupBy(*by).agg(F.max_by("threshold", ok).alias("threshold"), F.max_by("f1", ok).alias("f1"))
+    best = F.coalesce(F.max_by("threshold", ok), F.lit(0.50))
+    return sweep.groupBy(*by).agg(best.alias("threshold"), F.max_by("f1", ok).alias("f1"))
 
 
 def confidence(df: DataFrame, p: str, by: list[str], sure: float = 0.10, entry: float = 0.60) -> DataFrame:

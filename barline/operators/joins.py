@@ -119,19 +119,23 @@ def range_agg(
 
     Series rows are sent to the slots of length ``seconds`` they can be reached from, so the join
     is an equi-join on (series, slot) with a range filter; the aggregate is partial before shuffling.
+    An event without rows in reach is kept, with the aggregates of no row.
     """
     t = F.unix_seconds(F.col(grid.time))
     slot = F.floor(t / seconds)
     left = events.select(*grid.key, *id_cols, F.col(grid.time).alias("_from"), slot.alias("_slot"))
     right = series.select(
-        *grid.key,
+        *[F.col(c).alias(f"_k_{c}") for c in grid.key],
         *[c for c in series.columns if c not in grid.key],
-        F.explode(F.array(slot, slot - 1)).alias("_slot"),
+        F.explode(F.array(slot, slot - 1)).alias("_s"),
     )
+    same = F.col("_slot") == F.col("_s")
+    for c in grid.key:
+        same &= left[c] == F.col(f"_k_{c}")
     hit = (F.col(grid.time) >= F.col("_from")) & (
         F.col(grid.time) < F.col("_from") + F.expr(f"INTERVAL {seconds} SECONDS")
     )
-    found = left.join(right, [*grid.key, "_slot"]).filter(hit)
+    found = left.join(right, same & hit, "left")
     return found.groupBy(*grid.key, *id_cols, F.col("_from").alias(grid.time)).agg(*aggs)
 
 

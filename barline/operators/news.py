@@ -16,12 +16,17 @@ def _now(asof: str) -> Column:
     return F.lit(asof).cast("timestamp")
 
 
+def in_window(time: str, asof: str, hours: int) -> Column:
+    """The ``hours`` up to ``asof``, both ends included; nothing later is seen."""
+    return F.col(time).between(_now(asof) - F.expr(f"INTERVAL {hours} HOURS"), _now(asof))
+
+
 def news_metrics(df: DataFrame, asof: str, hours: list[int], time: str = "published_at") -> DataFrame:
     """Counts, shares, sentiment and score sums per trailing horizon, all horizons in one pass; zeros when empty."""
     sign = F.when(F.col("sentiment") == "POSITIVE", 1).when(F.col("sentiment") == "NEGATIVE", -1).otherwise(0)
     parts = []
     for h in hours:
-        inside = F.col(time) >= _now(asof) - F.expr(f"INTERVAL {h} HOURS")
+        inside = in_window(time, asof, h)
         n = F.count_if(inside)
         pos = F.count_if(inside & (F.col("sentiment") == "POSITIVE"))
         neg = F.count_if(inside & (F.col("sentiment") == "NEGATIVE"))
@@ -41,7 +46,7 @@ def news_metrics(df: DataFrame, asof: str, hours: list[int], time: str = "publis
                 F.coalesce(F.sum(F.when(inside, F.col("score"))), F.lit(0.0)).alias("total_score"),
             ).alias(f"h{h}")
         )
-    wide = df.filter(F.col(time) >= _now(asof) - F.expr(f"INTERVAL {max(hours)} HOURS")).agg(*parts)
+    wide = df.filter(in_window(time, asof, max(hours))).agg(*parts)
     return wide.select(F.inline(F.array(*[f"h{h}" for h in hours])))
 
 
@@ -54,29 +59,29 @@ def count_zscores(df: DataFrame, by: list[str], time: str = "published_at", n: i
     return over_series(filled, Grid(tuple(by), "ts", HOUR), {"z": R.zscore("n", n, 2)})
 
 
-def count_zscore(df: DataFrame, by: list[str], time: str = "published_at", n: int = 24) -> DataFrame:
-    """z score of the last hour per group, 0 where undefined."""
-    return count_zscores(df, by, time, n).groupBy(*by).agg(F.coalesce(F.max_by("z", "ts"), F.lit(0.0)).alias("z"))
+def count_zscore(df: DataFrame, asof: str, by: list[str], time: str = "published_at", n: int = 24) -> DataFrame:
+    """z score of the last hour with rows up to ``asof`` per group, 0 where undefined."""
+    return count_zscores(df.filter(F.col(time) <= _now(asof)), by, time, n).groupBy(*by).agg(F.coalesce(F.max_by("z", "ts"), F.lit(0.0)).alias("z"))
 
 
 def poisson_zscore(df: DataFrame, asof: str, by: list[str], time: str = "published_at") -> DataFrame:
     """(count in the last hour - hourly mean of the last day) / max(sqrt(mean), 1)."""
-    c1 = F.count_if(F.col(time) >= _now(asof) - F.expr("INTERVAL 1 HOUR"))
-    mean = F.count_if(F.col(time) >= _now(asof) - F.expr("INTERVAL 24 HOURS")) / 24.0
+    c1 = F.count_if(in_window(time, asof, 1))
+    mean = F.count_if(in_window(time, asof, 24)) / 24.0
     return df.groupBy(*by).agg(
         c1.alias("count_1h"), mean.alias("hourly_mean"), ((c1 - mean) / F.greatest(F.sqrt(mean), F.lit(1.0))).alias("z")
     )
 
 
 def _recent(df: DataFrame, asof: str, hours: int, time: str) -> DataFrame:
-    rows = df.filter(F.col(time) >= _now(asof) - F.expr(f"INTERVAL {hours} HOURS"))
+    rows = df.filter(in_window(time, asof, hours))
     return rows.withColumn("weighted", F.col("score") * source_weight("source"))
 
 
 def _most_common(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     counts = rows.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    best = Window.partitionBy(*by).orderBy(F.col("_n").desc(), column)
-    return counts.withColumn("_k", F.row_number().over(best)).filter("_k = 1").select(*by, F.col(column).alias(f"dominant_{column}"))
+    best = F.min(F.struct(-F.col("_n"), F.col(column).alias("value")))
+    return counts.groupBy(*by).agg(best["value"].alias(f"dominant_{column}"))
 
 
 def impact(df: DataFrame, asof: str, hours: int, by: list[str], time: str = "published_at") -> DataFrame:
@@ -129,6 +134,6 @@ def combine(df: DataFrame, macro: str = "macro_score", crypto: str = "crypto_sco
 
 
 def top_stories(df: DataFrame, asof: str, hours: int, n: int = 5, time: str = "published_at") -> DataFrame:
-    """Largest absolute weighted scores; titles cut to 120 characters."""
+    """Largest absolute scores (not weighted by source); titles cut to 120 characters."""
     rows = _recent(df, asof, hours, time)
-    return rows.orderBy(F.abs("weighted").desc(), "id").limit(n).withColumn("title", F.substring("title", 1, 120))
+    return rows.orderBy(F.abs("score").desc(), "id").limit(n).withColumn("title", F.substring("title", 1, 120))

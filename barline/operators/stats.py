@@ -220,8 +220,8 @@ def value_shares(df: DataFrame, column: str, by: list[str] | None = None) -> Dat
 def dominant(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Most frequent non-null value per group; the smallest wins ties."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
-    first = Window.partitionBy(*by).orderBy(F.col("n").desc(), column)
-    return counts.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    first = F.min(F.struct((-F.col("n")).alias("n"), F.col(column).alias("value")))
+    return counts.groupBy(*by).agg(first.alias("_m")).select(*by, F.col("_m.value").alias(column), (-F.col("_m.n")).alias("n"))
 
 
 def transitions(df: DataFrame, grid: Grid, state: str, by: list[str]) -> DataFrame:
@@ -316,12 +316,11 @@ def lead_lag(df: DataFrame, grid: Grid, x: str, y: str, lags: list[int], by: lis
         )
 
     out = over_series(df, grid, {f"_y{i}": moved(k) for i, k in enumerate(lags)})
-    aggs = []
-    for i in range(len(lags)):
-        r, n = _pair_corr(F.col(x), F.col(f"_y{i}"))
-        aggs.append(F.struct(F.lit(lags[i]).alias("lag"), n.alias("n"), F.when(n >= least, r).alias("r")).alias(f"_c{i}"))
-    wide = out.groupBy(*by).agg(*aggs)
-    return wide.select(*by, F.inline(F.array(*[f"_c{i}" for i in range(len(lags))])))
+    # One row per lag before the aggregate: its code stays small and it combines on the map side.
+    moves = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_y{i}").alias("_y")) for i, k in enumerate(lags)])
+    long = out.select(*by, F.col(x).alias("_x"), F.inline(moves))
+    r, n = _pair_corr(F.col("_x"), F.col("_y"))
+    return long.groupBy(*by, "lag").agg(n.alias("n"), F.when(n >= least, r).alias("r"))
 
 
 def best_lag(scan: DataFrame, by: list[str]) -> DataFrame:
@@ -564,7 +563,9 @@ def top_n(df: DataFrame, x: str | Column, n: int, tie: str, largest: bool = True
 def best(df: DataFrame, x: str, by: list[str], tie: str) -> DataFrame:
     """The whole row with the largest x per group; the smallest tie value wins."""
     rest = [c for c in df.columns if c not in by]
-    t = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(x).desc(), tie))
-    return df.withColumn("_k", t).filter("_k = 1").select(*by, *rest)
+    rows = df.withColumn("_x", F.col(x))
+    # One aggregate per group with partial results on the map side: no window over a whole group.
+    least = F.min_by(F.struct(*rest), F.struct(F.col("_x").isNull().alias("n"), (-F.col("_x")).alias("x"), F.col(tie).alias("t")))
+    return rows.groupBy(*by).agg(least.alias("_r")).select(*by, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
 
 

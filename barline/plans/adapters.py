@@ -70,11 +70,11 @@ def slow_1d(spark: SparkSession, sf: str) -> DataFrame:
 
 def depth(spark: SparkSession, sf: str) -> DataFrame:
     """Order-book style table: (series_id, range, ts) with both sides; ranges nest."""
-    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("R", "A"))
+    li = table(spark, sf, "lineitem")
     ranges = F.when(F.col("l_linenumber") <= 2, F.array(*map(F.lit, ("r05", "r1", "r2")))).when(
         F.col("l_linenumber") <= 4, F.array(*map(F.lit, ("r1", "r2")))
     ).otherwise(F.array(F.lit("r2")))
-    bid, ask = F.col("l_returnflag") == "R", F.col("l_returnflag") == "A"
+    bid, ask = F.col("l_returnflag") == "R", F.col("l_returnflag") != "R"
     daily = li.groupBy(
         F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias("ts"), "l_linenumber"
     ).agg(
@@ -111,8 +111,8 @@ def news(spark: SparkSession, sf: str) -> DataFrame:
     score = F.when(toxic == 1, -4.0).when(quality == 1, 3.0).when(quality == 0, -1.0).otherwise(0.0)
     return d.join(lab, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
-        F.substring("text", 1, 120).alias("title"),
-        F.substring("text", 1, 500).alias("body"),
+        F.col("text").alias("title"),
+        F.col("text").alias("body"),
         "source",
         F.col("lang").alias("search_group"),
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias(
@@ -172,10 +172,10 @@ DEPTH_SQL = """depth AS (
   SELECT 'book' AS series_id, r.range, date_trunc('day', l_shipdate::TIMESTAMP) AS ts,
          sum(l_extendedprice) FILTER (WHERE l_returnflag = 'R') AS bids_usd,
          sum(l_quantity) FILTER (WHERE l_returnflag = 'R') AS bids_quantity,
-         sum(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS asks_usd,
-         sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS asks_quantity
+         sum(l_extendedprice) FILTER (WHERE l_returnflag <> 'R') AS asks_usd,
+         sum(l_quantity) FILTER (WHERE l_returnflag <> 'R') AS asks_quantity
   FROM lineitem JOIN (VALUES ('r05', 2), ('r1', 4), ('r2', 1000)) AS r(range, top) ON l_linenumber <= r.top
-  WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2, 3)"""
+  GROUP BY 1, 2, 3)"""
 DERIVATIVES_SQL = """deriv AS (
   SELECT 'deriv' AS series_id, date_trunc('day', l_shipdate::TIMESTAMP) AS ts,
          sum(l_quantity) FILTER (WHERE l_linestatus = 'O') AS oi_binance,
@@ -184,7 +184,7 @@ DERIVATIVES_SQL = """deriv AS (
          avg(l_tax + 0.0) AS funding_vol_weighted
   FROM lineitem GROUP BY 1, 2)"""
 NEWS_SQL = """news AS (
-  SELECT d.doc_id AS id, substring(text, 1, 120) AS title, substring(text, 1, 500) AS body, source,
+  SELECT d.doc_id AS id, text AS title, text AS body, source,
          lang AS search_group, TIMESTAMP '2024-01-01' + to_minutes(d.doc_id) AS published_at,
          CASE WHEN toxic = 1 THEN 'NEGATIVE' WHEN quality = 1 THEN 'POSITIVE' ELSE 'NEUTRAL' END AS sentiment,
          n_chars % 7 AS upvotes,

@@ -229,7 +229,7 @@ def _(spark, sf):
 @query(
     "upsert_drop_null_value",
     "series_id ts value:4",
-    f"{OLD_NEW_SQL}, t AS (SELECT series_id, ts, value FROM k WHERE rn = 1 AND value IS NOT NULL)",
+    f"{OLD_NEW_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY batch DESC, event_id DESC) AS pos FROM o WHERE value IS NOT NULL), t AS (SELECT series_id, ts, value FROM f WHERE pos = 1)",
 )
 def _(spark, sf):
     old, new = old_and_new(spark, sf)
@@ -242,8 +242,8 @@ def _(spark, sf):
     f"""{BARS_4H_SQL}, b AS (SELECT series_id, ts, open, close, 0 AS batch FROM bars
       UNION ALL SELECT series_id, ts, CASE WHEN trades % 3 = 0 THEN NULL ELSE open END,
         CASE WHEN trades % 3 = 0 OR trades % 5 = 0 THEN NULL ELSE close END, 1 FROM bars WHERE ts >= TIMESTAMP '2024-01-10'),
-    k AS (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY batch DESC) AS rn FROM b),
-    t AS (SELECT series_id, ts, open, close FROM k WHERE rn = 1 AND (open IS NOT NULL OR close IS NOT NULL))""",
+    k AS (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY batch DESC) AS rn FROM b WHERE open IS NOT NULL OR close IS NOT NULL),
+    t AS (SELECT series_id, ts, open, close FROM k WHERE rn = 1)""",
 )
 def _(spark, sf):
     bars = bars_4h(spark, sf)

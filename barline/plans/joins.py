@@ -158,7 +158,7 @@ def _(spark, sf):
 @query(
     "interval_join_min",
     "series_id event_id:i low:4 bars:i",
-    f"""{BARS_1H_SQL}, {SIGNALS_SQL}, t AS (SELECT s.series_id, event_id, min(b.low) AS low, count(*) AS bars FROM sig s JOIN bars b
+    f"""{BARS_1H_SQL}, {SIGNALS_SQL}, t AS (SELECT s.series_id, event_id, min(b.low) AS low, count(b.low) AS bars FROM sig s LEFT JOIN bars b
       ON s.series_id = b.series_id AND b.ts >= s.event_ts AND b.ts < s.event_ts + INTERVAL 4 HOUR GROUP BY 1, 2)""",
 )
 def _(spark, sf):
@@ -167,7 +167,7 @@ def _(spark, sf):
         bars_1h(spark, sf).select("series_id", "ts", "low"),
         BARS_1H,
         4 * HOUR,
-        [F.min("low").alias("low"), F.count(F.lit(1)).alias("bars")],
+        [F.min("low").alias("low"), F.count("low").alias("bars")],
         ["event_id"],
     )
 

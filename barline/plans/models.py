@@ -224,7 +224,7 @@ def _(spark, sf):
 @query("principal_components", "component:i explained:6 feature loading:6 driver_rank:i")
 def _(spark, sf):
     e = table(spark, sf, "embeddings")
-    wide = e.select(*[F.col("embedding")[i].cast("double").alias(f"d{i:02d}") for i in range(16)])
+    wide = e.select(*[F.col("embedding")[i].cast("double").alias(f"d{i:02d}") for i in range(64)])
     return G.pca(wide, wide.columns, 2)
 
 

@@ -57,7 +57,7 @@ def _(spark, sf):
 @query(
     "threshold_choice",
     "series_id threshold:2 f1:6",
-    f"""{SWEEP_SQL}, t AS (SELECT series_id, first(threshold ORDER BY f1 DESC, threshold) AS threshold, max(f1) AS f1 FROM sw WHERE coverage >= 0.2 GROUP BY 1)""",
+    f"""{SWEEP_SQL}, t AS (SELECT series_id, coalesce(first(threshold ORDER BY f1 DESC, threshold) FILTER (WHERE coverage >= 0.2), 0.5) AS threshold, max(f1) FILTER (WHERE coverage >= 0.2) AS f1 FROM sw GROUP BY 1)""",
 )
 def _(spark, sf):
     return E.recommend_threshold(E.threshold_sweep(scores(spark, sf), "y", "p", ["series_id"]), ["series_id"])

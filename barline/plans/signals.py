@@ -127,21 +127,20 @@ def _(spark, sf):
     return gate_summary(df, {"regime": ("triggered", "label"), "technical": ("tb", "zone")}, ["series_id"])
 
 
-FEED_SQL = """feed AS (SELECT time_bucket(INTERVAL 3 HOUR, ts) + INTERVAL 1 HOUR AS news_ts, (avg(value) - 50) / 2 AS news_score FROM events WHERE user_id % 5 <> 0 GROUP BY 1),
-    nf AS (SELECT news_ts, news_score, CASE WHEN news_score >= 1 THEN 'BULL' WHEN news_score <= -1 THEN 'BEAR' ELSE 'SIDEWAYS' END AS news_regime FROM feed WHERE hour(news_ts) <> 10)"""
+FEED_SQL = """feed AS (SELECT time_bucket(INTERVAL 3 HOUR, ts) + INTERVAL 1 HOUR AS news_ts, (avg(value) - 50) / 2 AS news_score FROM events GROUP BY 1),
+    nf AS (SELECT news_ts, news_score, CASE WHEN news_score >= 1 THEN 'BULL' WHEN news_score <= -1 THEN 'BEAR' ELSE 'SIDEWAYS' END AS news_regime FROM feed)"""
 
 
 def news_feed(spark, sf):
     from barline.operators.resample import bucket_start
     from barline.plans.adapters import ticks
 
-    e = ticks(spark, sf).filter(F.col("user_id") % 5 != 0)
+    e = ticks(spark, sf)
     s = F.col("news_score")
     return (
         e.groupBy((bucket_start("ts", 3 * 3600) + F.expr("INTERVAL 1 HOUR")).alias("ts"))
         .agg(((F.avg("value") - 50) / 2).alias("news_score"))
         .withColumn("news_regime", F.when(s >= 1, "BULL").when(s <= -1, "BEAR").otherwise("SIDEWAYS"))
-        .filter(F.hour("ts") != 10)
     )
 
 

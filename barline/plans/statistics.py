@@ -348,12 +348,12 @@ def _(spark, sf):
     "lag_profile",
     "target series_id lag:i n:i r:6",
     f"""{R1D_SQL}, d AS (SELECT *, abs(r) AS a FROM x),
-    l AS (SELECT series_id, volume, {', '.join(f"{lead('r', k)} AS d{k}, {lead('a', k)} AS a{k}" for k in range(0, 91, 15))} FROM d),
-    t AS ({' UNION ALL '.join(f"SELECT '{nm}' AS target, series_id, {k} AS lag, count(volume + {c}{k}) AS n, corr(volume, {c}{k}) AS r FROM l GROUP BY 2" for k in range(0, 91, 15) for nm, c in (('direction', 'd'), ('magnitude', 'a')))})""",
+    l AS (SELECT series_id, volume, {', '.join(f"{lead('r', k)} AS d{k}, {lead('a', k)} AS a{k}" for k in range(91))} FROM d),
+    t AS ({' UNION ALL '.join(f"SELECT '{nm}' AS target, series_id, {k} AS lag, count(volume + {c}{k}) AS n, corr(volume, {c}{k}) AS r FROM l GROUP BY 2" for k in range(91) for nm, c in (('direction', 'd'), ('magnitude', 'a')))})""",
 )
 def _(spark, sf):
     x = r1d(spark, sf).withColumn("a", F.abs("r"))
-    lags = list(range(0, 91, 15))
+    lags = list(range(91))
     parts = [
         S.lead_lag(x, BARS_1D, "volume", y, lags, ["series_id"]).withColumn("target", F.lit(name))
         for name, y in (("direction", "r"), ("magnitude", "a"))

@@ -9,7 +9,7 @@ from barline.operators import news as N
 from barline.plans.adapters import BARS_1D_SQL, NEWS_SQL, bars_1d, news, table
 from barline.plans.registry import query
 
-ASOF = "2024-01-01 16:00:00"
+ASOF = "2024-01-01 02:30:00"
 GROUPS = ["en", "de", "fr", "es", "zz"]
 
 NORM = "trim(regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g'))"
@@ -20,11 +20,11 @@ WEIGHT_SQL = "CASE " + " ".join(f"WHEN contains(lower(source), '{k}') THEN {w}"
     "title_normalisation",
     "id:i norm title_hash relevant:i",
     f"""{NEWS_SQL}, t AS (SELECT id, {NORM.format(c='title')} AS norm, sha1({NORM.format(c='title')}) AS title_hash,
-      ({' OR '.join(f"contains(lower(body), '{k}')" for k in T.RELEVANCE_KEYWORDS)})::INT AS relevant FROM news)""",
+      ({' OR '.join(f"contains(lower(title), '{k}')" for k in T.RELEVANCE_KEYWORDS)})::INT AS relevant FROM news)""",
 )
 def _(spark, sf):
     return news(spark, sf).select(
-        "id", T.norm_title("title").alias("norm"), T.title_hash("title").alias("title_hash"), T.matches_any("body").alias("relevant")
+        "id", T.norm_title("title").alias("norm"), T.title_hash("title").alias("title_hash"), T.matches_any("title").alias("relevant")
     )
 
 
@@ -139,7 +139,7 @@ def metrics_sql(h: int) -> str:
     return f"""SELECT {h} AS hours, count(*) AS news_count, coalesce(100.0 * sum((sentiment = 'POSITIVE')::INT) / nullif(count(*), 0), 0) AS positive_pct,
       coalesce(100.0 * sum((sentiment = 'NEGATIVE')::INT) / nullif(count(*), 0), 0) AS negative_pct, coalesce(100.0 * sum((sentiment = 'NEUTRAL')::INT) / nullif(count(*), 0), 0) AS neutral_pct,
       coalesce(sum(sg) / nullif(count(*), 0), 0) AS sentiment_score, coalesce(sum(sg * (1 + upvotes)) / nullif(count(*), 0), 0) AS weighted_sentiment, coalesce(sum(score), 0) AS total_score
-      FROM s WHERE published_at >= TIMESTAMP '{ASOF}' - INTERVAL {h} HOUR"""
+      FROM s WHERE published_at BETWEEN TIMESTAMP '{ASOF}' - INTERVAL {h} HOUR AND TIMESTAMP '{ASOF}'"""
 
 
 @query(
@@ -152,34 +152,34 @@ def _(spark, sf):
     return N.news_metrics(news(spark, sf), ASOF, [1, 4, 24])
 
 
-HOURLY_SQL = f"""{NEWS_SQL}, h AS (SELECT search_group, date_trunc('hour', published_at) AS ts, count(*) AS n FROM news WHERE hour(published_at) % 5 <> 3 GROUP BY 1, 2),
+HOURLY_SQL = f"""{NEWS_SQL}, h AS (SELECT search_group, date_trunc('hour', published_at) AS ts, count(*) AS n FROM news WHERE published_at <= TIMESTAMP '{{END}}' GROUP BY 1, 2),
     c AS (SELECT search_group, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM h GROUP BY 1),
     f AS (SELECT c.search_group, c.ts, coalesce(n, 0) AS n FROM c LEFT JOIN h USING (search_group, ts)),
     z AS (SELECT *, CASE WHEN count(*) OVER w >= 2 THEN (n - avg(n) OVER w) / nullif(stddev_samp(n) OVER w, 0) END AS z FROM f
       WINDOW w AS (PARTITION BY search_group ORDER BY ts ROWS 23 PRECEDING))"""
 
 
-@query("news_count_zscores", "search_group ts n:i z:6", f"{HOURLY_SQL}, t AS (SELECT * FROM z)")
+@query("news_count_zscores", "search_group ts n:i z:6", HOURLY_SQL.format(END="2100-01-01") + ", t AS (SELECT * FROM z)")
 def _(spark, sf):
-    return N.count_zscores(news(spark, sf).filter(F.hour("published_at") % 5 != 3), ["search_group"])
+    return N.count_zscores(news(spark, sf), ["search_group"])
 
 
 @query(
     "news_count_zscore_now",
     "search_group z:6 count_1h:i hourly_mean:6 poisson:6",
-    f"""{HOURLY_SQL}, l AS (SELECT search_group, coalesce(last(z ORDER BY ts), 0) AS z FROM z GROUP BY 1),
-    p AS (SELECT search_group, sum((published_at >= TIMESTAMP '{ASOF}' - INTERVAL 1 HOUR)::INT) AS count_1h, sum((published_at >= TIMESTAMP '{ASOF}' - INTERVAL 24 HOUR)::INT) / 24.0 AS hourly_mean
-      FROM news WHERE hour(published_at) % 5 <> 3 GROUP BY 1),
+    f"""{HOURLY_SQL.format(END=ASOF)}, l AS (SELECT search_group, coalesce(last(z ORDER BY ts), 0) AS z FROM z GROUP BY 1),
+    p AS (SELECT search_group, sum((published_at BETWEEN TIMESTAMP '{ASOF}' - INTERVAL 1 HOUR AND TIMESTAMP '{ASOF}')::INT) AS count_1h, sum((published_at BETWEEN TIMESTAMP '{ASOF}' - INTERVAL 24 HOUR AND TIMESTAMP '{ASOF}')::INT) / 24.0 AS hourly_mean
+      FROM news GROUP BY 1),
     t AS (SELECT *, (count_1h - hourly_mean) / greatest(sqrt(hourly_mean), 1) AS poisson FROM l JOIN p USING (search_group))""",
 )
 def _(spark, sf):
-    n = news(spark, sf).filter(F.hour("published_at") % 5 != 3)
-    return N.count_zscore(n, ["search_group"]).join(
+    n = news(spark, sf)
+    return N.count_zscore(n, ASOF, ["search_group"]).join(
         N.poisson_zscore(n, ASOF, ["search_group"]).withColumnRenamed("z", "poisson"), "search_group"
     )
 
 
-RECENT_SQL = f"{OUTLET_SQL}, rc AS (SELECT *, score * ({WEIGHT_SQL}) AS weighted FROM nw WHERE published_at >= TIMESTAMP '{ASOF}' - INTERVAL 4 HOUR)"
+RECENT_SQL = f"{OUTLET_SQL}, rc AS (SELECT *, score * ({WEIGHT_SQL}) AS weighted FROM nw WHERE published_at BETWEEN TIMESTAMP '{ASOF}' - INTERVAL 4 HOUR AND TIMESTAMP '{ASOF}')"
 
 
 @query(
@@ -226,7 +226,7 @@ def _(spark, sf):
 @query(
     "top_stories",
     "id:i title weighted:4",
-    f"{RECENT_SQL}, t AS (SELECT id, substring(title, 1, 120) AS title, weighted FROM rc ORDER BY abs(weighted) DESC, id LIMIT 5)",
+    f"{RECENT_SQL}, t AS (SELECT id, substring(title, 1, 120) AS title, weighted FROM rc ORDER BY abs(score) DESC, id LIMIT 5)",
 )
 def _(spark, sf):
     return N.top_stories(with_outlet(news(spark, sf)), ASOF, 4)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,13 @@ def utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def own_folder() -> str:
+    """A temporary folder of a local session; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="barline-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
     spark = (
@@ -24,6 +33,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", own_folder())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -33,12 +43,15 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the cluster's shared folder.
 
-    ``spark.checkpoint.dir`` names that folder. Only where it is unset, as in tests, a
-    temporary folder is made and kept for the rest of the session.
+    ``spark.checkpoint.dir`` names that folder. A local session without one gets a temporary
+    folder; on a cluster the setting is required, since executors share no local disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="barline-")
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = own_folder()
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 

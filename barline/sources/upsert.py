@@ -48,14 +48,16 @@ def upsert(
     drop_all_null: list[str] | None = None,
     order: list[str] | None = None,
 ) -> DataFrame:
-    """Old and new rows, the new one winning per key; within one batch the highest ``order`` wins."""
+    """Old and new rows, the new one winning per key; within one batch the highest ``order`` wins.
+
+    Rows without values are dropped first, so they never replace a stored value.
+    """
     both = concat([old.withColumn("_batch", F.lit(0)), new.withColumn("_batch", F.lit(1))])
-    out = dedupe_last(both, keys, ["_batch", *(order or [])]).drop("_batch")
     if drop_null:
-        out = out.na.drop("any", subset=drop_null)
+        both = both.na.drop("any", subset=drop_null)
     if drop_all_null:
-        out = out.na.drop("all", subset=drop_all_null)
-    return out
+        both = both.na.drop("all", subset=drop_all_null)
+    return dedupe_last(both, keys, ["_batch", *(order or [])]).drop("_batch")
 
 
 def outer_merge(dfs: list[DataFrame], on: list[str]) -> DataFrame:

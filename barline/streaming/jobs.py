@@ -88,6 +88,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Files per day that the upsert sink writes at most.
+DAY_FILES = 8
+
+
 def upsert_sink(
     path: str, schema: T.StructType, keys: list[str], time: str = "ts", order: list[str] | None = None, slot: Column | None = None
 ):
@@ -112,12 +121,13 @@ def upsert_sink(
             upsert(touched, new, ["day", *keys], order=order).select(*[f.name for f in full.fields]).write.mode("overwrite").parquet(staging)
         merged = spark.read.schema(full).parquet(staging)
         (
-            merged.repartition("day", *keys)
+            merged.repartition("day", F.pmod(F.xxhash64(*keys), F.lit(DAY_FILES)))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("day")
             .parquet(path)
         )
+        _delete(spark, f"{path.rstrip('/')}_staging/batch={batch_id - 1}")
 
     return write
 
