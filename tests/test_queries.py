@@ -49,6 +49,8 @@ def test_registry_is_complete():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 200
     unstated = set(queries) - set(sql)
+    # Tested against plain Python in tests/llm.
+    unstated -= {n for n in unstated if n.startswith(("op2_", "op6_", "op10_", "pipeline"))}
     assert all(n.startswith(("permutation", "boosted", "classifier", "multiclass", "linear", "feature_set", "ablation", "state_cond", "cluster_sweep", "principal", "regime_")) for n in unstated)
 
 
