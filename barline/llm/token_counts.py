@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm.textops import encoder, slices, take
+from barline.session import materialize
 
 #: Lengths per range of the two-level sums.
 SPAN = 4096
@@ -30,7 +31,7 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(code.lengths(take(batch)), pa.int64())], ["length"])
 
     each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lengths, "length long")
-    return each.groupBy("length").agg(F.count("*").alias("n_docs"))
+    return materialize(each.groupBy("length").agg(F.count("*").alias("n_docs")), "histogram")
 
 
 def with_sums(hist: DataFrame, span: int = SPAN) -> DataFrame:
