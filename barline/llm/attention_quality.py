@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.textops import BEYOND, DIGITS, LEADING, LOWER, UPPER, Words, byte_class, documents, slices, take
+from barline.llm.textops import BEYOND, DIGITS, LEADING, LOWER, UPPER, Words, byte_class, documents, slices, take, tidy
 
 PASSAGE = 64
 BUCKETS = 16
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: in
             rows = [x[lo:hi].tobytes() for lo, hi in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
-    known = documents(docs).join(F.broadcast(ids), "doc_id").mapInArrow(bags, "doc_id long, y int, x binary")
+    known = documents(docs).join(F.broadcast(ids), "doc_id").mapInArrow(tidy(bags), "doc_id long, y int, x binary")
     rows = sorted(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     each = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(e) for e in each])]).astype(np.int64)
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             s = model.score(take(part))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    got = documents(docs).mapInArrow(task, "doc_id long, score double, predicted int")
+    got = documents(docs).mapInArrow(tidy(task), "doc_id long, score double, predicted int")
     return got.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
@@ -199,4 +199,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
         for part in slices(batches):
             yield part.filter(pa.array(model.score(take(part)) >= threshold))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(tidy(task), docs.schema)

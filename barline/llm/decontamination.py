@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.textops import MinHash, Words, mix, shingles, slices, take
+from barline.llm.textops import MinHash, Words, mix, shingles, slices, take, tidy
 from barline.session import materialize
 
 SHINGLE = 5
@@ -86,7 +86,7 @@ def bloom_of(values: DataFrame, n_values: int) -> Bloom:
         at = np.flatnonzero(own.words)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own.words[at].view(np.int64))], ["at", "word"])
 
-    rows = values.select("value").mapInArrow(fill, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect()
+    rows = values.select("value").mapInArrow(tidy(fill), "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).collect()
     out = Bloom(bits)
     if rows:
         out.words[np.array([r["at"] for r in rows])] = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
@@ -171,14 +171,14 @@ def _documents(k: int, classes: list[int], minima: Bloom, wanted: Bloom):
 def _matches(docs: DataFrame, benchmark: DataFrame, k: int, percent: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), text.alias("text"))
-    items = materialize(items.mapInArrow(_items(k), "item_id long, size_class int, n_shingles long, shingles array<long>, minima array<long>"), "items")
+    items = materialize(items.mapInArrow(tidy(_items(k)), "item_id long, size_class int, n_shingles long, shingles array<long>, minima array<long>"), "items")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s"), F.sort_array(F.collect_set("size_class")).alias("classes")).first()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
     schema = "doc_id long, key long, hits array<long>, own array<long>"
     if size.n:
         minima = bloom_of(items.select(F.explode("minima").alias("value")), size.n * MINIMA)
         wanted = bloom_of(items.select(F.explode("shingles").alias("value")), size.s)
-        rows = rows.mapInArrow(_documents(k, list(size.classes), minima, wanted), schema)
+        rows = rows.mapInArrow(tidy(_documents(k, list(size.classes), minima, wanted)), schema)
     else:
         rows = docs.sparkSession.createDataFrame([], schema)
     near = materialize(rows, "near")

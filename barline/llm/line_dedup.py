@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.textops import GOLDEN, Words, documents, mix, slices, take
+from barline.llm.textops import GOLDEN, Words, documents, mix, slices, take, tidy
 from barline.session import materialize
 
 WORDS = 50
@@ -106,7 +106,7 @@ def repeated(docs: DataFrame, least: int = WORDS) -> DataFrame:
     lines with a word from 0.
     """
     rows = documents(docs).withColumn("key", _key())
-    found = materialize(rows.mapInArrow(_scan(least), WINDOW), "windows")
+    found = materialize(rows.mapInArrow(tidy(_scan(least)), WINDOW), "windows")
     place = F.struct("doc", "key", "place")
     shared = found.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fingerprint")
     near = found.join(shared, "fingerprint").select("doc", "key", "first", "last", "passage")
@@ -145,7 +145,7 @@ def _cleaned(docs: DataFrame, least: int) -> DataFrame:
     joined = plain.join(runs, (doc == F.col("doc")) & (_key("__text") == F.col("key")), "left").drop("doc", "key")
     joined = joined.withColumnRenamed("runs", "__runs")
     schema = joined.drop("__runs").schema.add("__lines", "long").add("__removed", "long").add("__words", "long")
-    return joined.mapInArrow(_apply, schema)
+    return joined.mapInArrow(tidy(_apply), schema)
 
 
 def dedup_lines(docs: DataFrame, least: int = WORDS) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.components import components
-from barline.llm.textops import GOLDEN, MinHash, Words, documents, mix, shingles, slices, take
+from barline.llm.textops import GOLDEN, MinHash, Words, documents, mix, shingles, slices, take, tidy
 from barline.session import materialize
 
 SHINGLE = 5
@@ -184,14 +184,14 @@ def _links(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     right = members.join(grid, "component").select("id", "component", own("ys").alias("y"), every("xs").alias("x"), F.lit(False).alias("asks"))
     rows = left.unionByName(right).join(sets, "id")
     block = ["component", "x", "y"]
-    return rows.repartition(*block).sortWithinPartitions(*block, "asks", "id").mapInArrow(_compare, "u long, v long")
+    return rows.repartition(*block).sortWithinPartitions(*block, "asks", "id").mapInArrow(tidy(_compare), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     docs = documents(docs)
     schema = "doc_id long, n_shingles long, content binary, minima binary, bands array<long>"
-    feats = materialize(docs.mapInArrow(_features(shingle), schema), "features")
+    feats = materialize(docs.mapInArrow(tidy(_features(shingle)), schema), "features")
     linked = feats.where("doc_id IS NOT NULL AND n_shingles > 0")
     reps = linked.groupBy("content").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "minima", "bands")])
     reps = materialize(reps, "representatives")
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     wanted = degree.select("id")
     texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = materialize(texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(_set_bytes(shingle), "id long, shingles binary"), "sets")
+    sets = materialize(texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(tidy(_set_bytes(shingle)), "id long, shingles binary"), "sets")
 
     alone = best.select(F.col("component").alias("id"), "component").distinct()
     links = materialize(_links(best, alone, sets), "links")
@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     there = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
     asked = open_rows.where("outside = 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     block = ["band", "key", "block"]
-    found = there.unionByName(asked).repartition(*block).sortWithinPartitions(*block, "asks", "id").mapInArrow(_search, "id long, component long")
+    found = there.unionByName(asked).repartition(*block).sortWithinPartitions(*block, "asks", "id").mapInArrow(tidy(_search), "id long, component long")
     asks = materialize(found.distinct(), "asks")
     inside = asks.select("component").distinct()
     members = reps.select("id").join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("component")).join(inside, "component", "left_semi")

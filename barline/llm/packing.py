@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.textops import documents, encoder, slices, take
+from barline.llm.textops import documents, encoder, slices, take, tidy
 from barline.session import materialize
 
 END_ID = 2
@@ -92,6 +92,7 @@ def _fill(path: str, end_id: int, capacity: int, small: int):
             out.extend(group)
         if out:
             yield flush()
+        code.forget()
 
     return task
 
@@ -126,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     ``ids`` holds little-endian unsigned 32-bit numbers. The filled partitions are written to
     the shared folder once, so every later pass sees the same bins even if executors are lost.
     """
-    filled = materialize(documents(docs).mapInArrow(_fill(tokenizer, end_id, capacity, small), PIECE), "packed")
+    filled = materialize(documents(docs).mapInArrow(tidy(_fill(tokenizer, end_id, capacity, small)), PIECE), "packed")
     left = filled.where("sequence_id IS NULL")
     each = left.groupBy("length", "worker").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("worker")
@@ -147,5 +148,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             "offset": (F.col("rank") % per_bin) * F.col("length"),
         }
     )
-    tail = left.where(~full).orderBy(F.desc("length"), "rank").coalesce(1).select(*FIELDS).mapInArrow(_tail(capacity), PIECE)
+    tail = left.where(~full).orderBy(F.desc("length"), "rank").coalesce(1).select(*FIELDS).mapInArrow(tidy(_tail(capacity)), PIECE)
     return filled.where("sequence_id IS NOT NULL").select(columns).unionByName(again.select(columns)).unionByName(tail.select(columns))

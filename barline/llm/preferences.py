@@ -18,6 +18,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from barline.llm.textops import tidy
 from pyspark.sql import types as T
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -101,7 +103,7 @@ def masked_ids(formatted: DataFrame, tokenizer: str) -> DataFrame:
     schema = formatted.drop(*names).schema
     for n in names:
         schema = schema.add(n, T.ArrayType(T.IntegerType()))
-    return formatted.mapInArrow(task, schema)
+    return formatted.mapInArrow(tidy(task), schema)
 
 
 def conversations(rows: DataFrame) -> DataFrame:

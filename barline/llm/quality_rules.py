@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.textops import BEYOND, DIGITS, LEADING, LOWER, UPPER, Words, byte_class, documents, mix, slices, take
+from barline.llm.textops import BEYOND, DIGITS, LEADING, LOWER, UPPER, Words, byte_class, documents, mix, slices, take, tidy
 
 SYMBOLS = byte_class("#*$%&|<>")
 
@@ -159,7 +159,7 @@ def estimates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             rows = measure(Texts(take(first)), rules)
             yield pa.RecordBatch.from_pylist([{"rule": a, "seconds": b, "rejected": c, "sampled": first.num_rows} for a, b, c in rows])
 
-    got = documents(docs).mapInArrow(task, "rule string, seconds double, rejected long, sampled long")
+    got = documents(docs).mapInArrow(tidy(task), "rule string, seconds double, rejected long, sampled long")
     return got.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("seconds", "rejected", "sampled")])
 
 
@@ -180,4 +180,4 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values, pa.array(failed), pa.array(kept)], ["doc_id", *names, "base_failed", "kept"])
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean"
-    return documents(docs).mapInArrow(task, schema)
+    return documents(docs).mapInArrow(tidy(task), schema)

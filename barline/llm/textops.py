@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -26,6 +26,16 @@ def documents(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``task``, returning the Arrow memory that it has freed: a worker process lives on after its task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of about ``most`` bytes of ``column``; a longer text is a piece of its own."""
     for batch in batches:
@@ -36,6 +46,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         edges = np.flatnonzero(np.diff(part)) + 1
         for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
             yield batch.slice(int(lo), int(hi - lo))
+        pa.default_memory_pool().release_unused()
 
 
 def take(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
@@ -203,6 +214,10 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(printable)]
         self.byte_names = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    def forget(self) -> None:
+        """Empty the memory of encoded words; a task calls it when it is done."""
+        self.known.clear()
+
     def part(self, s: str) -> tuple[int, ...]:
         """Ids of one run of letters or of punctuation."""
         got = self.known.get(s)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.textops import encoder, slices, take
+from barline.llm.textops import encoder, slices, take, tidy
 from barline.session import materialize
 
 #: Lengths per range of the two-level sums.
@@ -29,8 +29,9 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
         code = encoder(tokenizer)
         for batch in slices(batches, most=8 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(code.lengths(take(batch)), pa.int64())], ["length"])
+        code.forget()
 
-    each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lengths, "length long")
+    each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(lengths), "length long")
     return materialize(each.groupBy("length").agg(F.count("*").alias("n_docs")), "histogram")
 
 

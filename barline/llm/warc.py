@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm.textops import slices
+from barline.llm.textops import slices, tidy
 from barline.session import shared_dir
 
 DICTIONARY_MAGIC, SKIPPABLE, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
@@ -109,7 +109,7 @@ def with_originals(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write all pages as archives into the folder ``path``."""
-    rows = with_originals(pages).mapInArrow(_archives(train_dictionary(pages), archive_bytes), "value binary")
+    rows = with_originals(pages).mapInArrow(tidy(_archives(train_dictionary(pages), archive_bytes)), "value binary")
     rows.select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
 
 
@@ -209,7 +209,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives in ``path``; revisits have no payload of their own."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(_read), RECORD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
