@@ -12,6 +12,7 @@ from barline.grid import Grid, over_series
 from barline.operators import rolling as R
 from barline.operators.fill import padded
 from barline.operators.resample import resample_mixed
+from barline.operators.smoothing import macd
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,7 @@ def daily_features(df: DataFrame, grid: Grid, p: DailyParams = DailyParams(), dr
         "rsi_14_z": (F.col(f"rsi_{p.rsi_short}") - 50) / 20,
     }
     hurst = [{}, *R.hurst_stages("log_return", p.hurst, "hurst_30d")]
-    out = over_series(df, grid, *R.merged([first, second, third], R.macd_stages("close", *p.macd), hurst))
+    out = over_series(macd(df, grid, "close", *p.macd), grid, *R.merged([first, second, third], hurst))
     out = out.drop(*[c for c in out.columns if c.startswith("_")], "ema_fast", "ema_slow")
     return out.na.drop("any", subset=MODEL_INPUT) if drop_burnin else out
 

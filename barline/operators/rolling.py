@@ -346,44 +346,6 @@ def hurst_stages(x: str, n: int, name: str) -> list[dict[str, Roll]]:
     ]
 
 
-RADIX = 8
-
-
-def ewm_stages(x: str, span: int, name: str, tolerance: float = 1e-15) -> list[dict[str, Roll | Column]]:
-    """Exponential mean with weight a = 2/(span+1), seeded with the first value, as ``name``.
-
-    The mean is a sum of a(1-a)^j x[-j]. Each stage widens the sum eightfold from seven lags of
-    the stage before, so a row costs a few lags instead of a pass over its whole past. It stops
-    where older weights fall below ``tolerance``; nearer to the series start it is exact.
-    ``x`` must have no nulls.
-    """
-    a = 2.0 / (span + 1.0)
-    keep = 1.0 - a
-    reach = math.ceil(math.log(tolerance) / math.log(keep)) if keep > 0 else 1
-    steps = max(1, math.ceil(math.log(reach, RADIX) - 1e-9))
-
-    def widen(source: Column | None, k: int) -> Roll:
-        hop = RADIX**k
-
-        def term(w: SeriesWindow, m: int) -> Column:
-            if source is not None:
-                return F.coalesce(w.lag(source, m * hop), F.lit(0.0)) if m else source
-            # The first value of the series carries its full weight.
-            now = w.lag(col(x), m) if m else col(x)
-            return F.coalesce(F.when(w.lag(col(x), m + 1).isNull(), now).otherwise(now * a), F.lit(0.0))
-
-        def build(w: SeriesWindow) -> Column:
-            total = term(w, 0)
-            for m in range(1, RADIX):
-                total = total + term(w, m) * keep ** (m * hop)
-            return total
-
-        return Roll(build, back=RADIX * hop if source is None else (RADIX - 1) * hop)
-
-    names = [f"_{name}_{k}" for k in range(steps - 1)] + [name]
-    return [{names[k]: widen(F.col(names[k - 1]) if k else None, k)} for k in range(steps)]
-
-
 def merged(*runs: list[dict]) -> list[dict]:
     """Several stage lists side by side: stage i of the result holds stage i of each."""
     out: list[dict] = [{} for _ in range(max(len(r) for r in runs))]
@@ -393,17 +355,6 @@ def merged(*runs: list[dict]) -> list[dict]:
     return out
 
 
-def macd_stages(x: str, fast: int = 12, slow: int = 26, signal: int = 9) -> list[dict[str, Roll | Column]]:
-    """MACD histogram over the price; also gives ``ema_fast`` and ``ema_slow``."""
-    averages = merged(ewm_stages(x, fast, "ema_fast"), ewm_stages(x, slow, "ema_slow"))
-    return [
-        *averages,
-        {"_macd": F.col("ema_fast") - F.col("ema_slow")},
-        *ewm_stages("_macd", signal, "_signal"),
-        {"macd_hist_norm": safe_div(F.col("_macd") - F.col("_signal"), x)},
-    ]
-
-
 def roll_pct_rank(x, n: int) -> Roll:
     """Share of the n-1 rows before that are strictly below the current value.
 

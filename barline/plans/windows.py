@@ -11,6 +11,7 @@ from barline.operators import rolling as R
 from barline.operators import rules
 from barline.operators.fill import cusum, padded
 from barline.operators.runs import regime_age, run_durations
+from barline.operators.smoothing import macd
 from barline.plans.adapters import (
     BARS_1D,
     BARS_1D_SQL,
@@ -275,8 +276,7 @@ def _(spark, sf):
       (macd - list_reduce(l, lambda a, v: a * 0.8::DOUBLE + v * 0.2::DOUBLE)) / close AS macd_hist_norm FROM g)""",
 )
 def _(spark, sf):
-    stages = R.macd_stages("close")
-    return over_series(bars_1d(spark, sf), BARS_1D, *stages).withColumnRenamed("ema_fast", "ema_12")
+    return macd(bars_1d(spark, sf), BARS_1D, "close").withColumnRenamed("ema_fast", "ema_12")
 
 
 @query(

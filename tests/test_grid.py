@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barline.grid import Grid, Roll, first_of, last_of, max_of, min_of, numbered, over_series, running, sum_of
 from barline.operators import labels as L
 from barline.operators import rolling as R
+from barline.operators.smoothing import ewm, macd
 
 GRIDS = [
     Grid(chunk_rows=1, block_rows=1),
@@ -55,10 +56,15 @@ def test_running_values_do_not_depend_on_chunks(table, series, grid):
 
 @pytest.mark.parametrize("grid", GRIDS[1:3], ids=lambda g: f"{g.chunk_rows}")
 def test_staged_means_and_exponents(table, series, grid):
-    out = over_series(table, grid, *R.merged(R.ewm_stages("close", 12, "e12"), R.ewm_stages("close", 26, "e26")))
-    got = by_key(out, ["e12", "e26"])
+    out = ewm(table, grid, {"e12": ("close", 12), "e200": ("close", 200), "ex": ("x", 26)})
+    got = by_key(out, ["e12", "e200", "ex"])
     close_to(got.e12, per_series(series, lambda g: g.close.ewm(span=12, adjust=False).mean()))
-    close_to(got.e26, per_series(series, lambda g: g.close.ewm(span=26, adjust=False).mean()))
+    close_to(got.e200, per_series(series, lambda g: g.close.ewm(span=200, adjust=False).mean()))
+    close_to(got.ex, per_series(series, lambda g: g.x.ewm(span=26, adjust=False).mean()))
+    want = per_series(series, lambda g: g.close.ewm(span=12, adjust=False).mean() - g.close.ewm(span=26, adjust=False).mean())
+    line = per_series(series.assign(close=want.to_numpy()), lambda g: g.close.ewm(span=9, adjust=False).mean())
+    hist = by_key(macd(table, grid, "close"), ["macd_hist_norm", "close"])
+    close_to(hist.macd_hist_norm * hist.close, want - line, 1e-6)
 
     def rs(v):
         d = np.cumsum(v - v.mean())
