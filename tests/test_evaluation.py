@@ -71,8 +71,13 @@ def test_permutations(trades, kind):
     again = E.permuted_signals(df, GRID, "pos", "ret", kind, 5).toPandas()
     key = ["run", "_row"]
     close_to(rows.sort_values(key).signal, again.sort_values(key).signal)
-    p = E.permutation_test(df, GRID, "pos", "ret", kind, 5).first()
-    assert 0 <= p.p <= 1 and p.runs == 5
+    got = {r.statistic: r for r in E.permutation_test(df, GRID, "pos", "ret", kind, 5).collect()}
+    assert set(got) == set(E.STATISTICS) and all(0 <= r.p <= 1 and r.runs == 5 for r in got.values())
+    held = (pdf.pos == 1).astype(float)
+    net = held * pdf.ret - 0.0012 * (held - held.shift(1).fillna(0)).abs()
+    assert abs(got["sharpe"].real - net.mean() / (net.std(ddof=0) + 1e-10) * 252**0.5) < 1e-8
+    assert abs(got["cagr"].real - ((1 + net).prod() ** (252 / len(net)) - 1)) < 1e-8
+    assert abs(got["profit_factor"].real - net[net > 0].sum() / -net[net < 0].sum()) < 1e-8
 
 
 def test_p_values():
