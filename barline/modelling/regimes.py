@@ -116,13 +116,16 @@ def pca(df: DataFrame, columns: list[str], n: int = 2) -> DataFrame:
     return df.sparkSession.createDataFrame(out, PCA_ROWS)
 
 
-def fit_regimes(df: DataFrame, columns: list[str], n: int = 2, order_by: str = "drawdown", seed: int = 42) -> DataFrame:
+def fit_regimes(
+    df: DataFrame, columns: list[str], n: int = 2, order_by: str = "drawdown", seed: int = 42, train: str = "true"
+) -> DataFrame:
     """Mixture states on standardised features, ordered so that the deepest mean drawdown is state 0.
 
-    Adds ``state`` and ``p_bull`` (probability of the highest state). The EM runs on the cluster.
+    Adds ``state`` and ``p_bull`` (probability of the highest state). The EM runs on the cluster,
+    on the rows that fulfil ``train`` only; all rows are scored.
     """
     rows = assembled(df, columns)
-    model = GaussianMixture(featuresCol=VECTOR, predictionCol="_raw", probabilityCol="_prob", k=n, seed=seed, maxIter=100).fit(rows)
+    model = GaussianMixture(featuresCol=VECTOR, predictionCol="_raw", probabilityCol="_prob", k=n, seed=seed, maxIter=100).fit(rows.filter(train))
     at = columns.index(order_by) if order_by in columns else 0
     means = [float(g.mean[at]) for g in model.gaussians]
     ordered = sorted(range(n), key=lambda s: (means[s], s))
@@ -133,6 +136,15 @@ def fit_regimes(df: DataFrame, columns: list[str], n: int = 2, order_by: str = "
     ).drop(VECTOR, "_raw", "_prob")
 
 
+def walk_forward_regimes(rows: DataFrame, columns: list[str], splits: list[str], keep: list[str], n: int = 2) -> DataFrame:
+    """States of the test rows of each split, from a mixture fitted on its training rows only."""
+    parts = []
+    for s in splits:
+        states = fit_regimes(rows.filter(F.col("split") == s), columns, n, train="role = 'train'")
+        parts.append(states.filter("role = 'test'").select(*keep, "split", "state", "p_bull"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def emissions(columns: list[str], params: dict) -> Column:
     """Log density of the standardised features under each state's diagonal normal; null if a feature is."""
     out = []
@@ -196,4 +208,4 @@ def score_regimes(df: DataFrame, grid: Grid, columns: list[str], params: dict, n
     return out.withColumn("state", F.when(F.col("_path").isNotNull(), state)).drop("_ll", "_path")
 
 
-__all__ = ["assembled", "cluster_sweep", "consensus_k", "davies_bouldin", "emissions", "fit_regimes", "order_states", "pca", "profiles", "score_regimes", "temporal_stability"]
+__all__ = ["assembled", "cluster_sweep", "consensus_k", "davies_bouldin", "emissions", "fit_regimes", "order_states", "pca", "profiles", "score_regimes", "temporal_stability", "walk_forward_regimes"]

@@ -11,7 +11,7 @@ from barline.modelling import regimes as G
 from barline.modelling import splits as S
 from barline.operators import labels as L
 from barline.operators import rolling as R
-from barline.operators.evaluation import auc_report, evaluate_signals, rank_configs
+from barline.operators.evaluation import auc_report, evaluate_signals, rank_configs, regime_metrics
 from barline.operators.stats import transitions
 from barline.plans.adapters import BARS_1D, BARS_1D_SQL, bars_1d, lag, lead, roll, table
 from barline.plans.registry import query
@@ -232,7 +232,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = prepared(spark, sf).filter("split = 'w3'")
     scaled = S.standardize(rows.filter("role = 'train'"), rows, FEATURES, ["split"])
-    return G.fit_regimes(scaled, FEATURES, 2)
+    return G.fit_regimes(scaled, FEATURES, 2, train="role = 'train'")
 
 
 REGIME_PARAMS = {
@@ -245,13 +245,59 @@ REGIME_PARAMS = {
 }
 
 
-@query("regime_scores", "series_id ts state:1 p_up:6")
+def regime_sql(columns: list[str], q: dict) -> str:
+    """``rs``: state and probability of the upper state from the ten-row context, for two states."""
+    (a00, a01), (a10, a11) = q["transition"]
+    density = [
+        " + ".join(f"-0.5 * (ln(2 * pi() * {v}) + pow(({c} - {m}) / {w} - {mu}, 2) / {v})" for c, mu, v, m, w in zip(columns, mean, var, q["center"], q["scale"]))
+        for mean, var in zip(q["means"], q["variances"])
+    ]
+    e = [f"exp(v[{j}] - greatest(v[1], v[2]))" for j in (1, 2)]
+    up = f"((acc[1] * {a01} + acc[2] * {a11}) * {e[1]})"
+    down = f"((acc[1] * {a00} + acc[2] * {a10}) * {e[0]})"
+    first = f"{q['start'][1]} * exp(l[1][2] - greatest(l[1][1], l[1][2])) / ({q['start'][0]} * exp(l[1][1] - greatest(l[1][1], l[1][2])) + {q['start'][1]} * exp(l[1][2] - greatest(l[1][1], l[1][2])))"
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    return f"""rs0 AS (SELECT series_id, ts, CASE WHEN {known} THEN [({density[0]})::DOUBLE, ({density[1]})::DOUBLE] END AS ll FROM feat),
+    rs1 AS (SELECT *, list_filter(list(ll) OVER (PARTITION BY series_id ORDER BY ts ROWS 9 PRECEDING), lambda x: x IS NOT NULL) AS l FROM rs0),
+    rs2 AS (SELECT series_id, ts, ll,
+      list_reduce(list_concat([[(1 - {first})::DOUBLE, ({first})::DOUBLE]], l[2:]), lambda acc, v: [({down} / ({down} + {up}))::DOUBLE, ({up} / ({down} + {up}))::DOUBLE]) AS post,
+      list_reduce(list_concat([[ln({q['start'][0]}) + l[1][1], ln({q['start'][1]}) + l[1][2]]], l[2:]), lambda acc, v:
+        [greatest(acc[1] + ln({a00}), acc[2] + ln({a10})) + v[1], greatest(acc[1] + ln({a01}), acc[2] + ln({a11})) + v[2]]) AS path FROM rs1 WHERE ll IS NOT NULL),
+    rs AS (SELECT series_id, ts, CASE WHEN path[1] >= path[2] THEN 0 ELSE 1 END AS state, post[2] AS p_up FROM rs0 LEFT JOIN rs2 USING (series_id, ts)),
+    rsn AS (SELECT series_id, ts, CASE WHEN ll IS NOT NULL THEN state END AS state, p_up FROM rs JOIN rs0 USING (series_id, ts))"""
+
+
+REGIME_COLUMNS = ["r", "vol_short", "volume_z"]
+REGIME_SQL = f"{FEATURES_SQL}, {regime_sql(REGIME_COLUMNS, REGIME_PARAMS)}"
+
+
+@query("regime_scores", "series_id ts state:1 p_up:6", f"{REGIME_SQL}, t AS (SELECT * FROM rsn)")
 def _(spark, sf):
-    df = G.score_regimes(features(spark, sf), BARS_1D, ["r", "vol_short", "volume_z"], REGIME_PARAMS)
+    df = G.score_regimes(features(spark, sf), BARS_1D, REGIME_COLUMNS, REGIME_PARAMS)
     return df.withColumn("p_up", F.col("posterior")[1])
 
 
-@query("regime_transitions", "series_id from_state:i to_state:i n:i p:6")
+@query(
+    "regime_transitions",
+    "series_id from_state:i to_state:i n:i p:6",
+    f"""{REGIME_SQL}, nx AS (SELECT series_id, state AS from_state, lead(state) OVER (PARTITION BY series_id ORDER BY ts) AS to_state FROM rsn),
+    c AS (SELECT series_id, from_state, to_state, count(*) AS n FROM nx WHERE from_state IS NOT NULL AND to_state IS NOT NULL GROUP BY 1, 2, 3),
+    t AS (SELECT *, n / sum(n) OVER (PARTITION BY series_id, from_state) AS p FROM c)""",
+)
 def _(spark, sf):
-    df = G.score_regimes(features(spark, sf), BARS_1D, ["r", "vol_short", "volume_z"], REGIME_PARAMS)
+    df = G.score_regimes(features(spark, sf), BARS_1D, REGIME_COLUMNS, REGIME_PARAMS)
     return transitions(df, BARS_1D, "state", ["series_id"])
+
+
+@query("consensus_k", "k_silhouette:i k_davies_bouldin:i k_aic:i k:i")
+def _(spark, sf):
+    rows = prepared(spark, sf).filter("split = 'w3' AND role = 'train'")
+    return G.consensus_k(G.cluster_sweep(S.standardize(rows, rows, FEATURES, ["split"]), FEATURES, [2, 3, 4, 5, 6]))
+
+
+@query("walk_forward_regimes", "split n:i e_up:6 e_down:6 delta:6 precision_up:6 precision_down:6 share_up:6 duration_up:4 duration_down:4")
+def _(spark, sf):
+    rows = prepared(spark, sf)
+    scaled = materialize(S.standardize(rows.filter("role = 'train'"), rows, FEATURES, ["split"]), "scaled")
+    states = G.walk_forward_regimes(scaled, FEATURES, ["w1", "w2", "w3"], ["series_id", "ts", "fwd"])
+    return regime_metrics(states, "split", "state", "fwd", BARS_1D)
