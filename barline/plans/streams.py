@@ -73,12 +73,31 @@ def _(spark, sf):
     return J.run_to_table(J.stream_enrich(tick_stream(spark, sf), daily, ["high"], ["series_id"]), "stream_enrich")[0]
 
 
+def late_stream(spark, sf):
+    """All events in three deliveries, the last of which comes after the second has moved the watermark."""
+    path = shared_dir(spark, "deliveries")
+    events = table(spark, sf, "events")
+    turn = F.pmod("event_id", F.lit(7))
+    counts = []
+    for part in (turn >= 2, turn == 0, turn == 1):
+        events.filter(part).write.mode("append").parquet(path)
+        counts.append(len(spark.read.schema(events.schema).parquet(path).inputFiles()))
+    if counts != [counts[0] * (i + 1) for i in range(3)]:
+        raise ValueError("the deliveries differ in their numbers of files")
+    stream = J.event_time(J.read_stream(spark, path, events.schema, counts[0]))
+    return stream.select(F.col("event_type").alias("series_id"), "ts", "event_id", "value", "user_id")
+
+
 @query(
     "stream_late_rows",
     "bars:i late:i",
-    """m AS (SELECT epoch_ms(epoch_us(max(ts::TIMESTAMP)) // 1000) - INTERVAL 10 MINUTE AS mark FROM events),
-    b AS (SELECT DISTINCT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS ts FROM events), t AS (SELECT count(*) AS bars, 0 AS late FROM b, m WHERE ts + INTERVAL 1 HOUR <= mark)""",
+    """e AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP) AS h, ts::TIMESTAMP AS ts, event_id % 7 AS turn FROM events),
+    m AS (SELECT epoch_ms(epoch_us(max(ts) FILTER (WHERE turn >= 2)) // 1000) - INTERVAL 10 MINUTE AS early, epoch_ms(epoch_us(max(ts)) // 1000) - INTERVAL 10 MINUTE AS mark FROM e),
+    l AS (SELECT e.*, turn = 1 AND h + INTERVAL 1 HOUR <= early AS late, h + INTERVAL 1 HOUR <= mark AS closed FROM e, m),
+    t AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT event_type, h FROM l WHERE closed AND NOT late)) AS bars,
+      (SELECT count(*) FROM (SELECT DISTINCT event_type, h FROM l WHERE late)) AS late)""",
 )
 def _(spark, sf):
-    out, q = J.run_to_table(J.stream_bars(tick_stream(spark, sf), 3600, "10 minutes", tie="event_id"), "late_rows")
-    return out.agg(F.count(F.lit(1)).alias("bars")).withColumn("late", F.lit(J.late_rows(q)))
+    bars = J.stream_bars(late_stream(spark, sf), 3600, "10 minutes", tie="event_id")
+    out, _, late = J.run_counted(bars, "late_rows")
+    return out.agg(F.count(F.lit(1)).alias("bars")).withColumn("late", F.lit(late))

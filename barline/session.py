@@ -56,8 +56,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so later passes reread files."""
+def materialize(df: DataFrame, name: str = "table", **options: object) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, so later passes reread files.
+
+    ``options`` go to the Parquet writer.
+    """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

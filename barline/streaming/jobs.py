@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from barline.operators.resample import order_key
 from barline.session import shared_dir
@@ -148,8 +151,45 @@ def stream_upsert(
     return spark.read.schema(stream.schema).parquet(path), q
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped because they came after the watermark, over all batches of the query."""
-    return sum(
-        int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators
-    )
+class LateRows(StreamingQueryListener):
+    """Sums, batch by batch, what each query's stateful operators dropped as later than the watermark.
+
+    An operator that aggregates first counts groups, not the rows in them.
+    """
+
+    def __init__(self):
+        self._dropped, self._ended, self._change = Counter(), set(), threading.Condition()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        with self._change:
+            self._dropped[str(event.progress.runId)] += sum(int(op.numRowsDroppedByWatermark) for op in event.progress.stateOperators)
+
+    def onQueryTerminated(self, event):
+        with self._change:
+            self._ended.add(str(event.runId))
+            self._change.notify_all()
+
+    def total(self, query: StreamingQuery, seconds: float = 60) -> int:
+        """The sum over all batches of a query that has ended."""
+        run = str(query.runId)
+        with self._change:
+            if not self._change.wait_for(lambda: run in self._ended, seconds):
+                raise TimeoutError("the end of the query was not reported")
+            return self._dropped[run]
+
+
+def run_counted(stream: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery, int]:
+    """``run_to_table`` with the number of late groups over all batches."""
+    streams, late = stream.sparkSession.streams, LateRows()
+    streams.addListener(late)
+    try:
+        out, query = run_to_table(stream, name)
+        return out, query, late.total(query)
+    finally:
+        streams.removeListener(late)

@@ -34,13 +34,13 @@ def feed(spark):
 def test_bars_equal_batch_for_closed_windows(spark, feed):
     path, df = feed
     stream = J.read_stream(spark, path, df.schema, files_per_batch=1)
-    got, q = J.run_to_table(J.stream_bars(stream, 3600, "10 minutes", tie="event_id"), "bars")
+    got, q, late = J.run_counted(J.stream_bars(stream, 3600, "10 minutes", tie="event_id"), "bars")
     mark = df.agg((F.max("ts") - F.expr("INTERVAL 10 MINUTES")).alias("m")).first().m
     want = ticks_to_bars(df, 3600, "value", "value", "event_id").filter(F.col("ts") + F.expr("INTERVAL 1 HOUR") <= F.lit(mark))
     cols = ["series_id", "ts", "open", "high", "low", "close", "trades"]
     a, b = (x.select(cols).toPandas().sort_values(cols[:2]).reset_index(drop=True) for x in (got, want))
     pd.testing.assert_frame_equal(a, b)
-    assert len(q.recentProgress) >= 6 and J.late_rows(q) == 0
+    assert len(q.recentProgress) >= 6 and late == 0
 
 
 def test_upsert_equals_batch_and_replays(spark, feed):
