@@ -28,6 +28,8 @@ from barline.session import materialize
 
 END_ID = 2
 CAPACITY = 4096
+#: Bytes that the Parquet writer of the filled bins buffers; pieces are long, so small row groups cost little.
+ROW_GROUP = 16 << 20
 #: Shares of up to this many tokens have a class for each length.
 SMALL = 16
 LEFT, TAIL = 1 << 61, 3 << 60
@@ -127,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     ``ids`` holds little-endian unsigned 32-bit numbers. The filled partitions are written to
     the shared folder once, so every later pass sees the same bins even if executors are lost.
     """
-    filled = materialize(documents(docs).mapInArrow(tidy(_fill(tokenizer, end_id, capacity, small)), PIECE), "packed")
+    filled = materialize(documents(docs).mapInArrow(tidy(_fill(tokenizer, end_id, capacity, small)), PIECE), "packed", **{"parquet.block.size": ROW_GROUP})
     left = filled.where("sequence_id IS NULL")
     each = left.groupBy("length", "worker").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("worker")
