@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.grid import Grid
+from barline.modelling import regimes
 from barline.operators import evaluation, joins, news, stats
 from barline.session import shared_dir
 from barline.sources.upsert import upsert
@@ -85,3 +86,23 @@ def test_shared_folder_is_required_on_a_cluster():
         with pytest.raises(ValueError):
             shared_dir(Session(master), "x")
     assert "/x-" in shared_dir(Session("local[2]"), "x")
+
+
+def test_regimes_learn_from_training_rows_only(spark):
+    train = [(i, "s", "train", float(i % 2) * 4 + 0.1 * (i % 5), 1.0) for i in range(60)]
+    held = [(100 + i, "s", "test", v, 1.0) for i, v in enumerate((0.1, 4.2, 0.3, 4.0))]
+    names = ["id", "split", "role", "drawdown", "fwd"]
+
+    def states(test_rows):
+        rows = regimes.walk_forward_regimes(spark.createDataFrame(train + test_rows, names), ["drawdown"], ["s"], ["id"])
+        return {r.id: (r.state, round(r.p_bull, 9)) for r in rows.collect()}
+
+    alone = states(held)
+    assert [alone[i][0] for i in range(100, 104)] == [0, 1, 0, 1]
+    more = states(held + [(200 + i, "s", "test", 50.0, 1.0) for i in range(40)])
+    assert all(more[k] == v for k, v in alone.items())
+
+
+def test_consensus_takes_the_lowest_bic(spark):
+    sweep = spark.createDataFrame([(2, 0.7, 0.5, 9.0, 8.0), (3, 0.6, 0.4, 5.0, 7.0)], ["k", "silhouette", "davies_bouldin", "aic", "bic"])
+    assert tuple(regimes.consensus_k(sweep).first()) == (2, 3, 3, 3)
