@@ -1,13 +1,16 @@
 """Repeated passages by winnowing over line hashes.
 
-A window is the shortest run of lines, from any line on, with at least ``WORDS`` words; blank
-lines are passed over. Each window selects its smallest line hash (the last one of equals) as a
-fingerprint, so equal windows select equal fingerprints: every passage of whole lines with
-``WORDS`` words or more that occurs twice is found. Fingerprints that occur at two places are
-joined to their windows; around such a place the windows on both sides extend the match as far
-as the lines agree with an earlier place. A line is deleted if one of its windows occurred
-earlier, in a document with a smaller id or further up in the same one; the first occurrence
-stays. Only counts and first places per fingerprint and window are exchanged, no pairs.
+A window is the shortest run of lines with at least ``WORDS`` words, from any line on or up to any
+line; blank lines are passed over. A line is deleted if one of its windows occurred earlier, in a
+document with a smaller id or further up in the same one; the first occurrence stays. A line of a
+repeat of ``WORDS`` words or more has a window inside the repeat: the one from it on, the one up to
+it, or, if both leave the repeat, the one from the repeat's first line on. So the deleted lines
+are those of all repeats, each to its ends, and no match has to be extended line by line.
+
+Equal windows are found by a hash of the whole window. Before that, each window selects its smallest
+line hash (the last one of equals) as a fingerprint; equal windows select equal fingerprints, so a
+window whose fingerprint has one place only is dropped. This spares rows and changes no result.
+Only counts and first places per fingerprint and window are exchanged, no pairs.
 
 Defined cases: a null text stays null; a text without a window stays as it is; lines are
 compared without white space at their ends; rows that repeat a ``doc_id`` and its text are one
@@ -48,11 +51,15 @@ def lines_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def windows(hashes: np.ndarray, words: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Per window: its first and last line, the place of its fingerprint, and its hash."""
     run = np.cumsum(words)
-    first = np.arange(len(words))
-    last = np.searchsorted(run, run - words + least)
-    end = np.repeat(starts[1:], np.diff(starts))
-    first = first[last < end]
-    last = last[first]
+    line = np.arange(len(words))
+    count = np.diff(starts)
+    begin, end = np.repeat(starts[:-1], count), np.repeat(starts[1:], count)
+    ahead = np.searchsorted(run, run - words + least)
+    back = np.searchsorted(run - words, run - least, "right") - 1
+    ends = back >= begin
+    ends[ends] = ahead[back[ends]] != line[ends]  # the others are windows from a line on as well
+    first = np.concatenate([line[ahead < end], back[ends]])
+    last = np.concatenate([ahead[ahead < end], line[ends]])
     place, low = first.copy(), hashes[first]
     passage = np.zeros(len(first), np.uint64)
     live = np.arange(len(first))
