@@ -266,12 +266,12 @@ def _(spark, sf):
     t AS (SELECT series_id, ts, a.volume, b.value, c.cnt FROM a FULL JOIN b USING (series_id, ts) FULL JOIN c USING (series_id, ts))""",
 )
 def _(spark, sf):
-    bars, n = bars_1d(spark, sf), F.col("trades")
+    bars = bars_1d(spark, sf)
     return U.outer_merge(
         [
-            bars.filter(n % 2 == 0).select("series_id", "ts", "volume"),
-            bars.filter(n % 3 == 0).select("series_id", "ts", F.col("close").alias("value")),
-            bars.filter(n % 5 == 0).select("series_id", "ts", n.alias("cnt")),
+            bars.select("series_id", "ts", "volume"),
+            bars.select("series_id", "ts", F.col("close").alias("value")),
+            bars.select("series_id", "ts", F.col("trades").alias("cnt")),
         ],
         ["series_id", "ts"],
     )

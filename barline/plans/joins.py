@@ -60,8 +60,7 @@ def _(spark, sf):
       LEFT JOIN (SELECT * FROM slow WHERE ts >= TIMESTAMP '1994-01-01') s USING (ts))""",
 )
 def _(spark, sf):
-    late = slow_1d(spark, sf).filter(F.col("ts") >= F.lit("1994-01-01").cast("timestamp"))
-    return J.join_left(bars_1d(spark, sf), late, ["ts"], ["value"])
+    return J.join_left(bars_1d(spark, sf), slow_1d(spark, sf), ["ts"], ["value"])
 
 
 @query(
@@ -75,12 +74,10 @@ def _(spark, sf):
 def _(spark, sf):
     d = depth(spark, sf)
 
-    def side(r: str, name: str, skip: int):
-        return d.filter((F.col("range") == r) & (F.dayofmonth("ts") != skip)).select(
-            "series_id", "ts", F.col("bids_usd").alias(name)
-        )
+    def side(r: str, name: str):
+        return d.filter(F.col("range") == r).select("series_id", "ts", F.col("bids_usd").alias(name))
 
-    return J.join_outer([side("r05", "near", 0), side("r1", "far", 7), side("r2", "deep", 9)], ["series_id", "ts"])
+    return J.join_outer([side("r05", "near"), side("r1", "far"), side("r2", "deep")], ["series_id", "ts"])
 
 
 @query(
@@ -104,8 +101,7 @@ def _(spark, sf):
     t AS (SELECT b.series_id, b.ts, b.close, s.value FROM bars b ASOF LEFT JOIN s ON b.ts >= s.ts)""",
 )
 def _(spark, sf):
-    slow = slow_1d(spark, sf).filter(F.col("cnt") % 2 == 0)
-    return J.asof_shared(bars_1d(spark, sf).select("series_id", "ts", "close"), slow, BARS_1D, ["value"])
+    return J.asof_shared(bars_1d(spark, sf).select("series_id", "ts", "close"), slow_1d(spark, sf), BARS_1D, ["value"])
 
 
 @query(

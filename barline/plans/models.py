@@ -96,9 +96,7 @@ def _(spark, sf):
     t AS (SELECT *, abs(p - 0.5) AS regime_strength FROM feat JOIN s USING (series_id, ts) WHERE r IS NOT NULL AND vol_ratio IS NOT NULL AND p IS NOT NULL)""",
 )
 def _(spark, sf):
-    states = bars_1d(spark, sf).filter(F.col("trades") % 5 != 0).select(
-        "series_id", "ts", F.try_divide("taker_buy_quote_volume", "quote_volume").alias("p")
-    )
+    states = bars_1d(spark, sf).select("series_id", "ts", F.try_divide("taker_buy_quote_volume", "quote_volume").alias("p"))
     return S.model_input(features(spark, sf), states, ["series_id", "ts"], "p", ["r", "vol_ratio"])
 
 
