@@ -111,83 +111,107 @@ def _(spark, sf):
     return S.class_weights(tagged.filter("role = 'train'"), "y", ["split", "series_id"])
 
 
-SMALL = {"trees": 10, "depth": 3, "rate": 0.1}
-
-
 def prepared(spark, sf):
     """Tagged rows without gaps, written once because every fit reads them several times."""
     tagged = S.walk_forward(features(spark, sf).na.drop("any", subset=FEATURES), SPLITS)
     return materialize(tagged, "model_rows")
 
 
-@query("boosted_classifier", "series_id ts y:i p:6")
+#: The splits that have rows.
+WALKS = ["w1", "w2", "w3"]
+
+
+def per_split(rows, fit):
+    """``fit`` on the rows of each split; its results with their split."""
+    return M.in_parallel({(s,): lambda s=s: fit(rows.filter(F.col("split") == s)) for s in WALKS}, ["split"])
+
+
+@query("boosted_classifier", "series_id ts split y:i p:6")
 def _(spark, sf):
-    rows = prepared(spark, sf).filter("split = 'w3'")
-    train = rows.filter("role = 'train' AND y IS NOT NULL")
-    train = S.weighted(train, S.class_weights(train, "y", ["split"]), "y", ["split"])
-    model = M.fit_classifier(train, FEATURES, "y", weight="weight", **SMALL)
-    return M.predict_probability(model, rows.filter("role = 'test' AND y IS NOT NULL"), FEATURES)
+    rows = prepared(spark, sf).filter("y IS NOT NULL")
+    train = rows.filter("role = 'train'")
+    weights = S.class_weights(train, "y", ["split"])
+
+    def fit(part):
+        train = S.weighted(part.filter("role = 'train'"), weights, "y", ["split"])
+        return M.predict_probability(M.fit_classifier(train, FEATURES, "y", weight="weight"), part.filter("role = 'test'"), FEATURES)
+
+    return per_split(rows, fit)
 
 
-@query("classifier_importances", "feature importance:6")
+@query("classifier_importances", "split feature importance:6")
 def _(spark, sf):
-    rows = prepared(spark, sf).filter("split = 'w1' AND role = 'train'")
-    return M.importances(M.fit_classifier(rows, FEATURES, "y", **SMALL), FEATURES, rows)
+    rows = prepared(spark, sf).filter("role = 'train'")
+    return per_split(rows, lambda part: M.importances(M.fit_classifier(part, FEATURES, "y"), FEATURES, part))
 
 
-@query("multiclass_forest", "series_id ts label:i p_bear:6 p_neutral:6 p_bull:6 predicted:i")
+@query("multiclass_forest", "series_id ts split label:i p_bear:6 p_neutral:6 p_bull:6 predicted:i")
 def _(spark, sf):
     from barline.operators.rules import label_ternary
 
-    rows = prepared(spark, sf).filter("split = 'w3'").withColumn("label", label_ternary("fwd", 0.015, 0.010))
-    model = M.fit_multiclass(rows.filter("role = 'train'"), FEATURES, "label", trees=20)
-    return M.predict_classes(model, rows.filter("role = 'test' AND label IS NOT NULL"), FEATURES, ["bear", "neutral", "bull"])
+    rows = prepared(spark, sf).withColumn("label", label_ternary("fwd", 0.015, 0.010))
 
+    def fit(part):
+        model = M.fit_multiclass(part.filter("role = 'train'"), FEATURES, "label")
+        return M.predict_classes(model, part.filter("role = 'test' AND label IS NOT NULL"), FEATURES, ["bear", "neutral", "bull"])
 
-@query("boosted_regressor", "series_id ts target:6 pred:6")
+    return per_split(rows, fit)
+
+
+@query("boosted_regressor", "series_id ts split target:6 pred:6")
 def _(spark, sf):
-    rows = prepared(spark, sf).filter("split = 'w3'").withColumn("target", safe_div("fwd", "vol_short"))
-    model = M.fit_regressor(rows.filter("role = 'train'"), FEATURES, "target", **SMALL)
-    return M.predict_value(model, rows.filter("role = 'test' AND target IS NOT NULL"), FEATURES)
+    rows = prepared(spark, sf).withColumn("target", safe_div("fwd", "vol_short"))
+
+    def fit(part):
+        model = M.fit_regressor(part.filter("role = 'train'"), FEATURES, "target")
+        return M.predict_value(model, part.filter("role = 'test' AND target IS NOT NULL"), FEATURES)
 
+    return per_split(rows, fit)
 
-@query("linear_baselines", "series_id ts p:6 pred:6")
+
+@query("linear_baselines", "series_id ts split p:6 pred:6")
 def _(spark, sf):
-    rows = prepared(spark, sf).filter("split = 'w3' AND fwd IS NOT NULL")
-    train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
-    logistic = M.fit_linear(train, FEATURES, "y", "logistic", reg=0.01)
-    elastic = M.fit_linear(train, FEATURES, "fwd", "elastic", reg=0.01, elastic=0.5)
-    return M.predict_value(elastic, M.predict_probability(logistic, test, FEATURES), FEATURES)
+    def fit(part):
+        train, test = part.filter("role = 'train'"), part.filter("role = 'test'")
+        logistic = M.fit_linear(train, FEATURES, "y", "logistic", reg=0.01)
+        elastic = M.fit_linear(train, FEATURES, "fwd", "elastic", reg=0.01, elastic=0.5)
+        return M.predict_value(elastic, M.predict_probability(logistic, test, FEATURES), FEATURES)
+
+    return per_split(prepared(spark, sf).filter("fwd IS NOT NULL"), fit)
 
 
 @query("feature_set_ablation", "feature_set split n_all:i auc_all:6 n_sure:i auc_sure:6 baseline:2")
 def _(spark, sf):
     rows = prepared(spark, sf).filter("y IS NOT NULL")
     sets = {"A": FEATURES[:2], "B": FEATURES[:4], "C": FEATURES}
-    scored = M.ablate(rows, sets, ["w1", "w2"], "y", ["series_id", "ts"], **SMALL)
+    scored = M.ablate(rows, sets, WALKS, "y", ["series_id", "ts"])
     return auc_report(materialize(scored, "ablation"), "y", "p", ["feature_set", "split"])
 
 
 @query("ablation_ranking", "feature_set mean:6 splits:i place:i")
 def _(spark, sf):
     rows = prepared(spark, sf).filter("y IS NOT NULL")
-    scored = M.ablate(rows, {"A": FEATURES[:2], "C": FEATURES}, ["w1", "w2"], "y", ["series_id", "ts", "fwd"], **SMALL)
+    scored = M.ablate(rows, {"A": FEATURES[:2], "C": FEATURES}, WALKS, "y", ["series_id", "ts", "fwd"])
     sig = F.when(F.col("p") > 0.5, 1).otherwise(-1)
     per = evaluate_signals(scored.withColumn("signal", sig), "signal", "fwd", ["feature_set", "split"])
     return rank_configs(per, "feature_set", "delta")
 
 
-@query("state_conditioned_models", "series_id ts state:i y:i p:6")
+@query("state_conditioned_models", "series_id ts split state:i y:i p:6")
 def _(spark, sf):
-    rows = prepared(spark, sf).filter("split = 'w3' AND fwd IS NOT NULL")
+    rows = prepared(spark, sf).filter("fwd IS NOT NULL")
     rows = rows.withColumns({"state": (F.col("drawdown") > -0.1).cast("int"), "down": (F.col("fwd") < -0.02).cast("int")})
-    return M.fit_conditioned(rows, "state", {1: "y", 0: "down"}, FEATURES, ["series_id", "ts"], **SMALL)
+    return per_split(rows, lambda part: M.fit_conditioned(part, "state", {1: "y", 0: "down"}, FEATURES, ["series_id", "ts"]))
 
 
-@query("cluster_sweep", "k:i inertia:4 silhouette:6 davies_bouldin:6 log_likelihood:4 aic:4 bic:4")
+def swept(spark, sf, then=lambda sweep: sweep):
+    rows = prepared(spark, sf).filter("role = 'train'")
+    return per_split(S.standardize(rows, rows, FEATURES, ["split"]), lambda part: then(G.cluster_sweep(part, FEATURES, [2, 3, 4, 5, 6])))
+
+
+@query("cluster_sweep", "split k:i inertia:4 silhouette:6 davies_bouldin:6 log_likelihood:4 aic:4 bic:4")
 def _(spark, sf):
-    rows = prepared(spark, sf).filter("split = 'w3' AND role = 'train'")
-    return G.cluster_sweep(S.standardize(rows, rows, FEATURES, ["split"]), FEATURES, [2, 3, 4, 5, 6])
+    return swept(spark, sf)
 
 
 CLUSTER_SQL = f"{FEATURES_SQL}, cl AS (SELECT *, CASE WHEN drawdown > -0.1 THEN 2 WHEN r > 0 THEN 1 ELSE 0 END AS cluster FROM feat WHERE r IS NOT NULL)"
@@ -226,11 +250,11 @@ def _(spark, sf):
     return G.pca(wide, wide.columns, 2)
 
 
-@query("regime_states", "series_id ts state:i p_bull:6")
+@query("regime_states", "series_id ts split role state:i p_bull:6")
 def _(spark, sf):
-    rows = prepared(spark, sf).filter("split = 'w3'")
-    scaled = S.standardize(rows.filter("role = 'train'"), rows, FEATURES, ["split"])
-    return G.fit_regimes(scaled, FEATURES, 2, train="role = 'train'")
+    rows = prepared(spark, sf)
+    scaled = materialize(S.standardize(rows.filter("role = 'train'"), rows, FEATURES, ["split"]), "scaled")
+    return per_split(scaled, lambda part: G.fit_regimes(part, FEATURES, 2, train="role = 'train'"))
 
 
 REGIME_PARAMS = {
@@ -287,15 +311,14 @@ def _(spark, sf):
     return transitions(df, BARS_1D, "state", ["series_id"])
 
 
-@query("consensus_k", "k_silhouette:i k_davies_bouldin:i k_aic:i k:i")
+@query("consensus_k", "split k_silhouette:i k_davies_bouldin:i k_aic:i k:i")
 def _(spark, sf):
-    rows = prepared(spark, sf).filter("split = 'w3' AND role = 'train'")
-    return G.consensus_k(G.cluster_sweep(S.standardize(rows, rows, FEATURES, ["split"]), FEATURES, [2, 3, 4, 5, 6]))
+    return swept(spark, sf, G.consensus_k)
 
 
 @query("walk_forward_regimes", "split n:i e_up:6 e_down:6 delta:6 precision_up:6 precision_down:6 share_up:6 duration_up:4 duration_down:4")
 def _(spark, sf):
     rows = prepared(spark, sf)
     scaled = materialize(S.standardize(rows.filter("role = 'train'"), rows, FEATURES, ["split"]), "scaled")
-    states = G.walk_forward_regimes(scaled, FEATURES, ["w1", "w2", "w3"], ["series_id", "ts", "fwd"])
+    states = G.walk_forward_regimes(scaled, FEATURES, WALKS, ["series_id", "ts", "fwd"])
     return regime_metrics(states, "split", "state", "fwd", BARS_1D)
