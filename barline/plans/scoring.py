@@ -217,8 +217,8 @@ def _(spark, sf):
 
 
 PERMUTATION_COLS = "series_id statistic real:6 runs:i mean:6 std:6 p:6 z:4 significant:i outlier_share:6 outlier:i"
-#: Permutations of the registered queries; a parameter of the test, for real use some thousands.
-RUNS = 50
+#: Permutations of the registered queries, as many as the reference takes.
+RUNS = 5000
 
 
 def unit_sql(*parts: str) -> str:
