@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import attention_quality, decontamination, license_scan, line_dedup, near_dedup, packing, preferences, quality_rules, token_counts, warc
+from barline.llm import attention_quality, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, packing, preferences, quality_rules, token_counts, warc
 from barline.llm.textops import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,3 +253,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = packing.pack(table(spark, sf_dir, "documents"), tokenizer())
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query(
+    "op11_exact_dedup",
+    r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = min(doc_id) OVER same AS kept, h AS text_sha256
+FROM d WINDOW same AS (PARTITION BY h)
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents")).drop("row")
