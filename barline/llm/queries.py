@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import attention_quality, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, packing, preferences, quality_rules, token_counts, warc
+from barline.llm import attention_quality, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, packing, preferences, quality_rules, spelling, token_counts, warc
 from barline.llm.textops import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,3 +265,36 @@ FROM d WINDOW same AS (PARTITION BY h)
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query(
+    "op12_spelling_variants",
+    rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+o AS (SELECT doc_id, run, count(*) AS c, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM r WHERE length(run) >= {spelling.LENGTH} GROUP BY doc_id, run),
+h AS (
+  SELECT run, c, xor(4294967295, list_reduce(list_transform(range(strlen(key)), lambda i: ('0x' || substr(hex(key), 2 * i + 1, 2))::BIGINT),
+    lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]), 4294967295)) AS h FROM o, crc),
+g AS (
+  SELECT CASE WHEN h % {spelling.ERRORS} = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM h),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM g WHERE length(word) >= {spelling.LENGTH} GROUP BY word HAVING sum(c) >= {spelling.OCCURRENCES}),
+d AS (SELECT DISTINCT word, n, left(word, i) AS a, substr(word, i + 2) AS b FROM v, unnest(range(length(word))) AS u(i)),
+w AS (SELECT word, n, left(word, i) AS a, substr(word, i + 1) AS b FROM v, unnest(range(length(word) + 1)) AS u(i)),
+p AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS m FROM d x JOIN d y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT x.word, x.n, y.word, y.n FROM d x JOIN w y ON x.a = y.a AND x.b = y.b
+  UNION SELECT y.word, y.n, x.word, x.n FROM d x JOIN w y ON x.a = y.a AND x.b = y.b),
+f AS (SELECT word, any_value(n) AS n, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM p GROUP BY word),
+k AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling.RATIO} * v.n THEN other END AS form, CASE WHEN m >= {spelling.RATIO} * v.n THEN m END AS form_n
+  FROM v LEFT JOIN f ON f.word = v.word),
+s(word, root) AS (SELECT word, word FROM k UNION ALL SELECT s.word, k.form FROM s JOIN k ON k.word = s.root WHERE k.form IS NOT NULL),
+z AS (SELECT word, last.root AS root FROM (SELECT s.word, arg_min(s, k.form IS NOT NULL) AS last FROM s JOIN k ON k.word = s.root GROUP BY s.word))
+SELECT k.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM k JOIN z ON z.word = k.word
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
