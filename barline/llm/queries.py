@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import attention_quality, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, packing, preferences, quality_rules, spelling, token_counts, warc
+from barline.llm import attention_quality, collocations, decontamination, exact_dedup, license_scan, line_dedup, near_dedup, packing, preferences, quality_rules, spelling, token_counts, warc
 from barline.llm.textops import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -298,3 +298,33 @@ SELECT k.word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op13_phrase_collocations",
+    rf"""
+WITH p AS (
+  SELECT coalesce(lang, '{collocations.NONE}') AS lang,
+    regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM p, unnest(range(1, {collocations.DEPTH} + 1)) AS v(k), unnest(range(1, len(w) - k + 2)) AS u(i)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= {collocations.LEAST}),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+x AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail FROM c, unnest(range(1, k)) AS u(j)),
+s AS (
+  SELECT x.lang, x.phrase, x.a, j, h.a AS l, t.a AS r, {collocations.SCALE}::HUGEINT * x.a // (h.a + t.a) AS score
+  FROM x JOIN f h ON h.lang = x.lang AND h.phrase = head JOIN f t ON t.lang = x.lang AND t.phrase = tail),
+b AS (SELECT lang, phrase, a, arg_min(struct_pack(l := l, r := r, score := score), struct_pack(s := score, j := j)) AS best FROM s GROUP BY lang, phrase, a),
+i AS (
+  SELECT lang, array_to_string(w[o:o + m - 1], ' ') AS phrase, max(a) AS most
+  FROM c, unnest(range(2, k)) AS v(m), unnest(range(1, k - m + 2)) AS u(o) GROUP BY ALL),
+r AS (
+  SELECT b.lang, b.phrase, a, best.l AS l, best.r AS r, best.score AS score,
+    row_number() OVER (PARTITION BY b.lang ORDER BY best.score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE most IS NULL OR 100 * most < {collocations.COVERED} * a)
+SELECT r.lang, rank, phrase, a, l, r.r, n, score::BIGINT AS score FROM r JOIN n ON n.lang = r.lang WHERE rank <= {collocations.TOP}
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
