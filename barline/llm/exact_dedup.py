@@ -9,7 +9,7 @@ equality. The partition has two levels:
   of all rows hold is exchanged once per slice and not once per row.
 * Across tasks, representatives are split by digits of ``DIGITS`` bytes, each group being named
   by its smallest member. A round counts (group, digit) with partial sums before its exchange and
-  joins the groups' new names back. Representatives that are alone or at their end are done; only
+  joins the names of those with two members or more back. Representatives that are alone or at their end are done; only
   the others keep the rest of their text for the next round. The number of rounds follows from the
   longest text that has a copy or shares its beginning up to there, not from the number of rows.
 
@@ -113,19 +113,23 @@ def _classes(reps: DataFrame, digits: tuple[int, ...]) -> DataFrame:
         width = digits[min(k, len(digits) - 1)]
         key = ["node", "digit", "ended"]
         cut = alive.withColumns({"digit": F.substring("rest", 1, width), "ended": F.octet_length("rest") <= width})
-        groups = cut.groupBy(*key).agg(
+        parts = cut.groupBy(*key).agg(
             F.count("*").alias("k"),
             F.min("rep").alias("next"),
-            F.sum("n").alias("group_size"),
-            F.min("low").alias("keep_id"),
-            F.min_by("rep", "low").alias("keep_rep"),
+            F.sum("n").alias("all_n"),
+            F.min("low").alias("least"),
+            F.min_by("rep", "low").alias("least_rep"),
         )
-        done = F.col("ended") | (F.col("k") == 1)
-        step = cut.join(groups, key).select(
+        # A table of its own, so that the join below reads two plain exchanges: adaptive execution
+        # broadcasts the groups if they are few and splits the rows of a group that is large.
+        shared = materialize(parts.where("k > 1").drop("k"), f"groups{k}")
+        joined = cut.join(shared, key, "left")
+        alone, done = F.col("next").isNull(), F.col("next").isNull() | F.col("ended")
+        step = joined.select(
             "rep",
-            F.when(done, F.col("keep_id")).alias("keep_id"),
-            F.when(done, F.col("keep_rep")).alias("keep_rep"),
-            F.when(done, F.col("group_size")).alias("group_size"),
+            F.when(alone, F.col("low")).when(done, F.col("least")).alias("keep_id"),
+            F.when(alone, F.col("rep")).when(done, F.col("least_rep")).alias("keep_rep"),
+            F.when(alone, F.col("n")).when(done, F.col("all_n")).alias("group_size"),
             F.when(~done, F.col("n")).alias("n"),
             F.when(~done, F.col("low")).alias("low"),
             F.when(~done, F.col("next")).alias("node"),
