@@ -94,7 +94,6 @@ def _fill(path: str, end_id: int, capacity: int, small: int):
             out.extend(group)
         if out:
             yield flush()
-        code.forget()
 
     return task
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -190,17 +191,38 @@ class MinHash:
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer of whole words (no id spans white space).
-
-    The normalizer and pre-tokenizer of such a vocabulary never join two words, so each
-    distinct word is encoded once. Plain lower-case words with trailing punctuation go to the
-    model itself; all others go through the full tokenizer. The memory of encoded words is
-    emptied when it is full.
+    """Token ids of texts.
+
+    With a vocabulary of whole words (``WORDWISE``), the normalizer and pre-tokenizer never join two
+    words, so each distinct word is encoded once. Plain words with trailing punctuation are taken
+    apart; their letters and their punctuation go to the model itself, other words through the full
+    tokenizer. Encoded letters are kept per process in two generations of ``CACHE`` entries each
+    (about 200 bytes an entry); the older one goes when the younger one is full. With any other
+    vocabulary, whole texts go through the full tokenizer.
     """
 
-    CACHE = 200_000
-    PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-    SAFE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    CACHE = 80_000
+    SAFE = r"^[!-~À-ÖØ-öø-ÿ]+$"
+    PLAIN = r"^(?P<letters>[a-zß-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
+    #: The configuration for which words can be encoded one by one.
+    WORDWISE = {
+        "normalizer": {
+            "type": "Sequence",
+            "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+        },
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {
+                    "type": "Split",
+                    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                    "behavior": "Removed",
+                    "invert": True,
+                },
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
 
     def __init__(self, path: str):
         import os
@@ -209,44 +231,78 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
         self.byte_names = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.wordwise = self._is_wordwise()
 
-    def forget(self) -> None:
-        """Empty the memory of encoded words; a task calls it when it is done."""
-        self.known.clear()
+    def _is_wordwise(self) -> bool:
+        told = json.loads(self.tokenizer.to_str())
+        plain = re.compile(r"[a-zß-öø-ÿ]*[!-/:-@\[-`{-~]*")
+        apart = all(len(t["content"].split()) == 1 and not plain.fullmatch(t["content"].lower()) for t in told["added_tokens"])
+        return apart and told["model"]["type"] == "BPE" and all(told[k] == v for k, v in self.WORDWISE.items())
 
-    def part(self, s: str) -> tuple[int, ...]:
-        """Ids of one run of letters or of punctuation."""
-        got = self.known.get(s)
+    def part(self, s: str) -> bytes:
+        """Ids of one run of letters or of punctuation, 4 bytes each."""
+        got = self.young.get(s)
         if got is None:
-            if len(self.known) >= self.CACHE:
-                self.known.clear()
-            named = s.encode().decode("latin-1").translate(self.byte_names)
-            got = self.known[s] = tuple(x.id for x in self.tokenizer.model.tokenize(named))
+            got = self.old.get(s)
+            if got is None:
+                named = s if s.isascii() else s.encode().decode("latin-1").translate(self.byte_names)
+                got = array("I", [x.id for x in self.tokenizer.model.tokenize(named)]).tobytes()
+            if len(self.young) >= self.CACHE:
+                self.old, self.young = self.young, {}
+            self.young[s] = got
         return got
 
-    def word(self, s: str) -> tuple[int, ...]:
-        if self.SAFE.fullmatch(s) and (m := self.PLAIN.fullmatch(s.lower())):
-            return self.part(m[1]) + self.part(m[2]) if m[2] else self.part(m[1])
-        return tuple(self.tokenizer.encode(s, add_special_tokens=False).ids)
+    def _coded(self, words: Words) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Per distinct word the numbers of its one or two parts, and all parts; part 0 is empty."""
+        spelt = words.distinct
+        taken = pc.extract_regex(pc.utf8_lower(spelt), self.PLAIN)
+        plain = pc.and_(pc.match_substring_regex(spelt, self.SAFE), taken.is_valid()).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(plain)
+        first, second = np.zeros(len(spelt), np.int64), np.zeros(len(spelt), np.int64)
+        parts = [b""]
+        for out, field in ((first, 0), (second, 1)):
+            coded = taken.field(field).take(pa.array(at)).dictionary_encode()
+            out[at] = coded.indices.to_numpy(zero_copy_only=False) + len(parts)
+            parts += [self.part(s) if s else b"" for s in coded.dictionary.to_pylist()]
+        at = np.flatnonzero(~plain)
+        first[at] = np.arange(len(parts), len(parts) + len(at))
+        parts += [array("I", self.tokenizer.encode(s, add_special_tokens=False).ids).tobytes() for s in spelt.take(pa.array(at)).to_pylist()]
+        return first, second, parts
+
+    def _whole(self, texts: pa.Array) -> Iterator[list[int]]:
+        for lo in range(0, len(texts), 64):
+            for x in self.tokenizer.encode_batch(texts[lo : lo + 64].to_pylist(), add_special_tokens=False):
+                yield x.ids
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
+        if not self.wordwise:
+            return np.fromiter(map(len, self._whole(texts)), np.int64, len(texts))
         words = Words(texts)
-        each = np.fromiter((len(self.word(w)) for w in words.distinct.to_pylist()), np.int64, len(words.distinct))
-        return words.total(each)
+        first, second, parts = self._coded(words)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        return words.total(size[first] + size[second])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids as unsigned 32-bit numbers, and where each text's ids start."""
+        if not self.wordwise:
+            each = [np.array(x, np.uint32) for x in self._whole(texts)]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.cumsum([0, *map(len, each)])
         words = Words(texts)
-        coded = [self.word(w) for w in words.distinct.to_pylist()]
-        each = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(each.sum()))
-        first = np.concatenate([[0], np.cumsum(each)[:-1]]) if len(each) else each
+        first, second, parts = self._coded(words)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        # The ids of every distinct word side by side, then the words' own ranges of them.
+        both = np.stack([first, second], axis=1).ravel()
+        own = np.frombuffer(b"".join(parts), np.uint32)[ranges(begin[both], size[both])]
+        each = size[first] + size[second]
+        start = np.concatenate([[0], np.cumsum(each)[:-1]]) if len(each) else each
         n = words.total(each)
-        return flat[ranges(first[words.codes], each[words.codes])], np.concatenate([[0], np.cumsum(n)])
+        return own[ranges(start[words.codes], each[words.codes])], np.concatenate([[0], np.cumsum(n)])
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -29,7 +29,6 @@ def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
         code = encoder(tokenizer)
         for batch in slices(batches, most=8 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(code.lengths(take(batch)), pa.int64())], ["length"])
-        code.forget()
 
     each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(lengths), "length long")
     return materialize(each.groupBy("length").agg(F.count("*").alias("n_docs")), "histogram")

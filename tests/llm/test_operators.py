@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -64,9 +65,40 @@ def ids():
 
 def test_encoder_equals_tokenizer(ids):
     words = ["don't", "ÀÉ,", "éa", "x" * 300, "<|endoftext|>a", "12.5%", "Kelvin", "İ", "naïve!!", "日本語", "a b", "ﬁne", "ª½"]
-    code = Encoder(tokenizer())
-    for w in words:
-        assert list(code.word(w)) == ids(w), w
+    check_encoder(Encoder(tokenizer()), words, ids)
+
+
+def check_encoder(code, texts, ids):
+    array = pa.array(texts, pa.large_string())
+    got, starts = code.ids(array)
+    for text, lo, hi in zip(texts, starts[:-1], starts[1:]):
+        assert got[lo:hi].tolist() == ids(text), text
+    assert code.lengths(array).tolist() == [len(ids(t)) for t in texts]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_of_any_vocabulary(name, docs, monkeypatch):
+    """A vocabulary whose ids hold white space goes through the full tokenizer; the memory of words may be small."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(Encoder, "CACHE", 50)
+    full, code = Tokenizer.from_file(tokenizer(name)), Encoder(tokenizer(name))
+    assert code.wordwise == (name == "word_bpe_49k.json")
+    texts = [r.text for r in docs.select("text").limit(60).collect()] + ["", " a  b\n", "it's 'S don't''s"]
+    check_encoder(code, texts, lambda t: full.encode(t, add_special_tokens=False).ids)
+
+
+def test_packing_with_another_vocabulary(spark, docs):
+    from tokenizers import Tokenizer
+
+    name = tokenizer("byte_bpe_50k.json")
+    full = Tokenizer.from_file(name)
+    some = docs.limit(40)
+    want = {r.doc_id: len(full.encode(r.text or "", add_special_tokens=False).ids) for r in some.collect()}
+    got = packing.pack(some, name).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n - 1 for r in got} == want
+    hist = {r.length: r.n_docs for r in token_counts.histogram(some, name).collect()}
+    assert hist == dict(collections.Counter(want.values()))
 
 
 def check_packing(df, rows, ids):
