@@ -226,8 +226,7 @@ def _(spark, sf):
 @query(
     "freshness_status",
     "series_id max_days:i last_ts:t days_ago:1 status recent_nulls:1",
-    f"""{BARS_1D_SQL}, s AS (SELECT series_id, ts, CASE WHEN trades % 2 = 0 THEN close END AS x FROM bars
-        WHERE series_id <> '2-HIGH' OR ts < TIMESTAMP '2001-06-01'),
+    f"""{BARS_1D_SQL}, s AS (SELECT series_id, ts, CASE WHEN trades % 2 = 0 THEN close END AS x FROM bars),
     n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS rn FROM s),
     l AS (SELECT series_id, max(ts) AS last_ts, sum((rn <= 5 AND x IS NULL)::INT) AS recent_nulls FROM n GROUP BY 1),
     e AS (SELECT DISTINCT o_orderpriority AS series_id, 5 AS max_days FROM orders UNION ALL SELECT DISTINCT 'x' || o_orderstatus, 9 FROM orders),

@@ -260,9 +260,9 @@ def _(spark, sf):
 @query(
     "outer_merge",
     "series_id ts volume:4 value:4 cnt:2",
-    f"""{BARS_1D_SQL}, {SLOW_1D_SQL}, a AS (SELECT series_id, ts, volume FROM bars WHERE trades % 2 = 0),
-    b AS (SELECT series_id, ts, close AS value FROM bars WHERE trades % 3 = 0),
-    c AS (SELECT series_id, ts, trades AS cnt FROM bars WHERE trades % 5 = 0),
+    f"""{BARS_1D_SQL}, {SLOW_1D_SQL}, a AS (SELECT series_id, ts, volume FROM bars),
+    b AS (SELECT series_id, ts, close AS value FROM bars),
+    c AS (SELECT series_id, ts, trades AS cnt FROM bars),
     t AS (SELECT series_id, ts, a.volume, b.value, c.cnt FROM a FULL JOIN b USING (series_id, ts) FULL JOIN c USING (series_id, ts))""",
 )
 def _(spark, sf):

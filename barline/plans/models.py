@@ -92,7 +92,7 @@ def _(spark, sf):
 @query(
     "model_input",
     "series_id ts r:6 vol_ratio:6 p:6 regime_strength:6",
-    f"""{FEATURES_SQL}, s AS (SELECT series_id, ts, taker_buy_quote_volume / quote_volume AS p FROM bars WHERE trades % 5 <> 0),
+    f"""{FEATURES_SQL}, s AS (SELECT series_id, ts, taker_buy_quote_volume / quote_volume AS p FROM bars),
     t AS (SELECT *, abs(p - 0.5) AS regime_strength FROM feat JOIN s USING (series_id, ts) WHERE r IS NOT NULL AND vol_ratio IS NOT NULL AND p IS NOT NULL)""",
 )
 def _(spark, sf):
