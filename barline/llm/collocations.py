@@ -12,8 +12,13 @@ goes on one word deeper. A part that weighs less than the least count is abandon
 that begin a splitting suffix can have pointers in two ranges; they are counted apart, are never
 abandoned, and their parts are added up afterwards.
 
+A word below the least count is part of no phrase, so suffixes end before it. A first pass counts all
+words at ``FILTER_BITS`` hashed positions; the positions that reach the least count are a bitmap of
+16 MB at most, whatever the vocabulary. Words that share a position with others can pass it wrongly;
+they are counted like all others and then dropped.
+
 The sample decides where ranges end, never what is counted; it takes documents at random up to
-``SAMPLE_BYTES`` of text and one place in ``SAMPLE_EVERY`` of them.
+``SAMPLE_BYTES`` of text and one place in ``SAMPLE_EVERY`` of that much.
 
 Defined cases: a null text is empty; a null language is ``und``; words keep every character but
 those between them; texts of any length are cut at slices of places, not of text; rows that repeat
@@ -22,8 +27,9 @@ count each time; an empty table gives no rows; columns other than ``text`` and `
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +37,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.textops import UPPER, Words, byte_class, slices, take, tidy
+from barline.llm.textops import GOLDEN, UPPER, Words, byte_class, mix, slices, take, tidy
 from barline.session import materialize
 
 DEPTH, LEAST, TOP, COVERED, SCALE = 4, 30, 2000, 80, 2_000_000
 NONE = "und"
-SLICE = 8 << 20
-SAMPLE_BYTES, SAMPLE_EVERY, RANGE_PLACES = 32 << 20, 32, 1 << 20
+SLICE = 4 << 20
+SAMPLE_BYTES, SAMPLE_EVERY, RANGE_PLACES = 32 << 20, 32, 2 << 20
+#: Positions of the word filter, and of one of Spark's bitmaps.
+FILTER_BITS, BITMAP = 1 << 27, 1 << 15
 #: Words of one slice that fit into the 16-bit fields of a packed pointer; more are cut by places.
 CODES, PLACES = 65_534, 60_000
 BREAK = byte_class(".,;:!?\n\v\f\r")
 GAP = BREAK | byte_class(" \t")
-ROUTED = "range int, lang string, words array<string>, suffixes binary, weights binary"
+ROUTED = "range int, lang string, words array<string>, suffixes binary, weights binary, places long"
 COUNTED = "lang string, phrase string, k int, a long"
 Suffix = tuple[str, ...]
 
@@ -72,34 +80,69 @@ def places(texts: pa.Array) -> tuple[Words, np.ndarray]:
     return words, broken[start] + np.repeat(np.arange(len(texts)), np.diff(words.starts))
 
 
+def _positions(lang: str, words: Words) -> np.ndarray:
+    """The position in the word filter of each distinct word."""
+    salt = np.array([zlib.crc32(lang.encode())], np.uint64) * GOLDEN
+    return (mix(words.hashes() ^ salt) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for lang, texts in _texts(batches):
+        words, _ = places(texts)
+        n = np.bincount(words.codes, minlength=len(words.distinct))
+        yield pa.RecordBatch.from_arrays([pa.array(_positions(lang, words)), pa.array(n.astype(np.int64))], ["place", "n"])
+
+
+def frequent_words(texts: DataFrame, least: int) -> np.ndarray:
+    """The word filter: one bit per position, set where at least ``least`` words fall."""
+    found = texts.mapInArrow(tidy(_word_counts), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    number = F.col("place") + 1  # Spark's bitmaps count from 1
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")
+    maps = found.where(F.col("n") >= least).groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(bits)
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in maps.collect():
+        at = (row["bucket"] - 1) * (BITMAP // 8)
+        out[at : at + BITMAP // 8] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
 def packed(codes: np.ndarray, piece: np.ndarray, lo: int, hi: int) -> np.ndarray:
-    """For the places from ``lo`` to ``hi``, the codes (from 1) of the next words of the piece in 16 bits each."""
-    key = np.zeros(hi - lo, np.uint64)
+    """For the places from ``lo`` to ``hi``, the codes of the next words of the piece in 16 bits each.
+
+    A code of 0 ends the suffix before it.
+    """
+    key, alive = np.zeros(hi - lo, np.uint64), np.ones(hi - lo, bool)
     for d in range(DEPTH):
         part = np.zeros(hi - lo, np.uint64)
         n = max(0, min(hi, len(codes) - d) - lo)
-        part[:n] = np.where(piece[lo + d : lo + d + n] == piece[lo : lo + n], codes[lo + d : lo + d + n] + 1, 0)
+        part[:n] = np.where(alive[:n] & (piece[lo + d : lo + d + n] == piece[lo : lo + n]), codes[lo + d : lo + d + n], 0)
+        alive = part > 0
         key = (key << np.uint64(16)) | part
     return key
 
 
-def _pointers(texts: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """Per run of places: its words in order, and its packed suffixes, each once, with their weights."""
+def _pointers(lang: str, texts: pa.Array, known: np.ndarray | None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, int]]:
+    """Per run of places: its words in order, its packed suffixes, each once, their weights, and its places."""
     words, piece = places(texts)
-    order = pc.array_sort_indices(words.distinct).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    spelt, codes = words.distinct.take(pa.array(order)), rank[words.codes]
+    kept = np.arange(len(words.distinct))
+    if known is not None:
+        at = _positions(lang, words)
+        kept = np.flatnonzero((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+    spelt = words.distinct.take(pa.array(kept))
+    order = pc.array_sort_indices(spelt).to_numpy()
+    code = np.zeros(len(words.distinct), np.int64)
+    code[kept[order]] = np.arange(1, len(order) + 1)
+    spelt, codes = spelt.take(pa.array(order)), code[words.codes]
     step = len(codes) if len(order) <= CODES else PLACES
     for lo in range(0, len(codes), step or 1):
         hi = min(lo + step, len(codes))
-        if step == len(codes):
-            used, own, near = spelt, codes, piece
-        else:
-            at, own = np.unique(codes[lo : hi + DEPTH - 1], return_inverse=True)
-            used, near = spelt.take(pa.array(at)), piece[lo : hi + DEPTH - 1]
+        used, own, near = spelt, codes, piece
+        if step < len(codes):
+            at, own = np.unique(np.append(codes[lo : hi + DEPTH - 1], 0), return_inverse=True)
+            used, own, near = spelt.take(pa.array(at[1:] - 1)), own[:-1], piece[lo : hi + DEPTH - 1]
         keys, weights = np.unique(packed(own, near, 0, hi - lo), return_counts=True)
-        yield used.to_pylist(), keys, weights
+        begins = int(np.searchsorted(keys, np.uint64(1) << np.uint64(16 * (DEPTH - 1))))
+        yield used, keys[begins:], weights[begins:], hi - lo
 
 
 def _fields(keys: np.ndarray) -> np.ndarray:
@@ -107,20 +150,26 @@ def _fields(keys: np.ndarray) -> np.ndarray:
     return np.stack([(keys >> np.uint64(16 * (DEPTH - 1 - d))).astype(np.uint16) for d in range(DEPTH)])
 
 
-def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, texts in _texts(batches):
-        for words, keys, _ in _pointers(texts):
-            rows = _fields(keys[SAMPLE_EVERY // 2 :: SAMPLE_EVERY]).T.tolist()
-            found = [" ".join(words[c - 1] for c in row if c) for row in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string())], ["lang", "suffix"])
+def _sample(known: Callable[[], np.ndarray], every: int):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, texts in _texts(batches):
+            for spelt, keys, _, _ in _pointers(lang, texts, known()):
+                words = spelt.to_pylist()
+                rows = _fields(keys[every // 2 :: every]).T.tolist()
+                found = [" ".join(words[c - 1] for c in row if c) for row in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string())], ["lang", "suffix"])
+
+    return task
 
 
-def splitters(docs: DataFrame, range_places: int = RANGE_PLACES) -> list[tuple[str, Suffix]]:
+def splitters(texts: DataFrame, known: Callable[[], np.ndarray], range_places: int = RANGE_PLACES) -> list[tuple[str, Suffix]]:
     """(language, suffix) borders between ranges of about ``range_places`` places each."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     share = min(1.0, SAMPLE_BYTES / max(1, size))
-    picked = docs.sample(share, seed=1) if share < 1 else docs
-    rows = sorted((r.lang, tuple(r.suffix.split(" "))) for r in picked.mapInArrow(tidy(_sample), "lang string, suffix string").collect())
+    picked = texts.sample(share, seed=1) if share < 1 else texts
+    every = max(1, int(SAMPLE_EVERY * size * share) // SAMPLE_BYTES)
+    sample = picked.mapInArrow(tidy(_sample(known, every)), "lang string, suffix string").collect()
+    rows = sorted((r.lang, tuple(r.suffix.split(" "))) for r in sample)
     ranges = min(-(-size // (6 * range_places)), len(rows))
     return sorted({rows[len(rows) * i // ranges] for i in range(1, ranges)})
 
@@ -136,30 +185,36 @@ def _border(words: list[str], suffix: Suffix) -> int:
     return key
 
 
-def _route(borders: list[tuple[str, Suffix]]):
+def _route(borders: list[tuple[str, Suffix]], known: Callable[[], np.ndarray]):
     langs = [lang for lang, _ in borders]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _texts(batches):
             base = bisect_left(langs, lang)
             own = [s for x, s in borders[base:] if x == lang]
-            for words, keys, weights in _pointers(texts):
+            for spelt, keys, weights, n in _pointers(lang, texts, known()):
+                words = spelt.to_pylist()
                 cuts = np.searchsorted(keys, np.array([_border(words, s) for s in own], np.uint64))
                 edges = [0, *cuts.tolist(), len(keys)]
-                spelt, out = pa.array(words, pa.string()), []
+                at, size, suffixes, counts = [base], [0], [b""], [b""]
+                used = [np.zeros(0, np.int64)]
                 for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
                     if lo == hi:
                         continue
                     fields = _fields(keys[lo:hi])
-                    used = np.flatnonzero(np.bincount(fields.ravel(), minlength=1)[1:])
+                    seen = np.flatnonzero(np.bincount(fields.ravel(), minlength=1)[1:])
                     small = np.zeros(len(words) + 1, np.uint16)
-                    small[used + 1] = np.arange(1, len(used) + 1)
-                    out.append((base + i, spelt.take(pa.array(used)).to_pylist(), small[fields].tobytes(), weights[lo:hi].astype(np.uint32).tobytes()))
-                columns = list(zip(*out))
-                kinds = [pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary()]
-                if columns:
-                    r, w, s, n = (pa.array(c, k) for c, k in zip(columns, kinds))
-                    yield pa.RecordBatch.from_arrays([r, pa.array([lang] * len(out), pa.string()), w, s, n], ["range", "lang", "words", "suffixes", "weights"])
+                    small[seen + 1] = np.arange(1, len(seen) + 1)
+                    at.append(base + i)
+                    size.append(len(seen))
+                    used.append(seen)
+                    suffixes.append(small[fields].tobytes())
+                    counts.append(weights[lo:hi].astype(np.uint32).tobytes())
+                offsets = pa.array(np.cumsum([0, *size]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(offsets, spelt.take(pa.array(np.concatenate(used))).cast(pa.string()))
+                columns = [pa.array(at, pa.int32()), pa.array([lang] * len(at), pa.string()), lists, pa.array(suffixes, pa.binary()), pa.array(counts, pa.binary())]
+                total = pa.array([n] + [0] * (len(at) - 1), pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, total], ["range", "lang", "words", "suffixes", "weights", "places"])
 
     return task
 
@@ -194,17 +249,16 @@ def quicksort(columns: np.ndarray, weights: np.ndarray, least: int) -> Iterator[
 
 def _count(borders: list[tuple[str, Suffix]], least: int):
     def counted(at: int, lang: str, blobs: list[tuple]) -> pa.RecordBatch:
-        lists = [pa.array(b[0], pa.string()) for b in blobs]
-        coded = pa.concat_arrays(lists).dictionary_encode()
+        coded = pa.concat_arrays([b[0] for b in blobs]).dictionary_encode()
         words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         parts, base = [], 0
-        for own, suffixes, _ in blobs:
+        for own, suffixes, _, _ in blobs:
             known = np.concatenate([[0], code[base : base + len(own)] + 1]).astype(np.int32)
             parts.append(known[np.frombuffer(suffixes, np.uint16).reshape(DEPTH, -1)])
             base += len(own)
         columns = np.concatenate(parts, axis=1)
         weights = np.concatenate([np.frombuffer(b[2], np.uint32) for b in blobs]).astype(np.int64)
-        rows: list[tuple[str, int, int]] = [("", 0, int(weights.sum()))]
+        rows: list[tuple[str, int, int]] = [("", 0, sum(b[3] for b in blobs))]
         number, split = {w: i + 1 for i, w in enumerate(words)}, set()
         for x, suffix in borders[max(0, at - 1) : at + 1]:
             for k in range(1, len(suffix) + 1) if x == lang else ():
@@ -222,12 +276,14 @@ def _count(borders: list[tuple[str, Suffix]], least: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
-            for at, lang, *blob in zip(*(c.to_pylist() for c in batch.columns)):
+            lists = batch.column("words")
+            columns = (batch.column(c).to_pylist() for c in ("range", "lang", "suffixes", "weights", "places"))
+            for i, (at, lang, *blob) in enumerate(zip(*columns)):
                 if now != (at, lang):
                     if blobs:
                         yield counted(*now, blobs)
                     now, blobs = (at, lang), []
-                blobs.append(blob)
+                blobs.append((lists[i].values, *blob))
         if blobs:
             yield counted(*now, blobs)
 
@@ -240,8 +296,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, range_places: int = RANGE
     The row with ``k`` 0 has the number of all words of the language.
     """
     texts = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"))
-    borders = splitters(texts, range_places)
-    routed = texts.mapInArrow(tidy(_route(borders)), ROUTED)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_words(texts, least))
+    known = lambda: shared.value
+    borders = splitters(texts, known, range_places)
+    routed = texts.mapInArrow(tidy(_route(borders, known)), ROUTED)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = routed.repartitionById(partitions, F.col("range") % partitions).sortWithinPartitions("range", "lang")
     parts = dealt.mapInArrow(tidy(_count(borders, least)), COUNTED)

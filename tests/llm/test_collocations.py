@@ -64,7 +64,8 @@ def rows():
 def test_counts_and_ranks(spark, rows, places):
     df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
     texts = df.fillna("und", ["lang"])
-    assert places > 200 or len(collocations.splitters(texts, places)) > 20
+    known = collocations.frequent_words(texts, 30)
+    assert places > 200 or len(collocations.splitters(texts, lambda: known, places)) > 20
     got = {(r.lang, r.phrase, r.k): r.a for r in collocations.phrase_counts(df, 30, places).collect()}
     assert got == brute_counts(rows, 30)
     ranked = collocations.collocations(df, 30, 25, places)
@@ -79,11 +80,21 @@ def test_slices_with_many_words(monkeypatch):
     rng = random.Random(6)
     texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(n)) for n in (0, 1, 2, 500, 3)]
     got = collections.Counter()
-    for words, keys, weights in collocations._pointers(pa.array(texts, pa.large_string())):
+    total = 0
+    for words, keys, weights, n in collocations._pointers("en", pa.array(texts, pa.large_string()), None):
+        total += n
         for row, n in zip(collocations._fields(keys).T.tolist(), weights.tolist()):
-            got[tuple(words[c - 1] for c in row if c)] += n
+            got[tuple(words[c - 1].as_py() for c in row if c)] += n
     want = collections.Counter(tuple(t.split()[i : i + 4]) for t in texts for i in range(len(t.split())))
-    assert got == want
+    assert got == want and total == sum(want.values())
+
+
+def test_full_filter_changes_nothing(rows):
+    """Where every position of the filter is taken, the suffixes are those without a filter."""
+    known = np.full(collocations.FILTER_BITS // 8, 255, np.uint8)
+    texts = pa.array([r[0] for r in rows if r[1] == "en"], pa.large_string())
+    free = [(k.tolist(), w.tolist()) for _, k, w, _ in collocations._pointers("en", texts, None)]
+    assert free == [(k.tolist(), w.tolist()) for _, k, w, _ in collocations._pointers("en", texts, known)]
 
 
 def test_quicksort_counts_prefixes():
