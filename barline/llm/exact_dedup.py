@@ -120,9 +120,9 @@ def _classes(reps: DataFrame, digits: tuple[int, ...]) -> DataFrame:
             F.min("low").alias("least"),
             F.min_by("rep", "low").alias("least_rep"),
         )
-        # A table of its own, so that the join below reads two plain exchanges: adaptive execution
-        # broadcasts the groups if they are few and splits the rows of a group that is large.
-        shared = materialize(parts.where("k > 1").drop("k"), f"groups{k}")
+        # A table of its own, so that the join below reads two plain exchanges and adaptive execution
+        # can split the rows of a large group. Always a merge join: the groups grow with the documents.
+        shared = materialize(parts.where("k > 1").drop("k"), f"groups{k}").hint("merge")
         joined = cut.join(shared, key, "left")
         alone, done = F.col("next").isNull(), F.col("next").isNull() | F.col("ended")
         step = joined.select(
