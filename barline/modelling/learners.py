@@ -7,14 +7,16 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barline.modelling.boosting import Fitted, Growth, Model, fit, score
+
 VECTOR = "_features"
 
 
@@ -31,30 +33,11 @@ def _probability(model: PipelineModel, rows: DataFrame, columns: list[str], k: i
     return out.withColumn("p", vector_to_array("probability")[k]).drop(VECTOR, "rawPrediction", "probability", "prediction")
 
 
-def fit_classifier(
-    train: DataFrame, columns: list[str], label: str, trees: int = 300, depth: int = 4, rate: float = 0.03,
-    subsample: float = 0.8, seed: int = 42, weight: str | None = None,
-) -> PipelineModel:
-    gbt = GBTClassifier(
-        featuresCol=VECTOR, labelCol=label, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed
-    )
-    if weight:
-        gbt = gbt.setWeightCol(weight)
-    return _pipeline(columns, gbt).fit(_complete(train, columns, label))
-
-
 def fit_multiclass(train: DataFrame, columns: list[str], label: str, trees: int = 100, depth: int = 5, seed: int = 42) -> PipelineModel:
     forest = RandomForestClassifier(featuresCol=VECTOR, labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
     return _pipeline(columns, forest).fit(_complete(train, columns, label))
 
 
-def fit_regressor(
-    train: DataFrame, columns: list[str], target: str, trees: int = 300, depth: int = 4, rate: float = 0.03, seed: int = 42
-) -> PipelineModel:
-    gbt = GBTRegressor(featuresCol=VECTOR, labelCol=target, maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, predictionCol="pred")
-    return _pipeline(columns, gbt).fit(_complete(train, columns, target))
-
-
 def fit_linear(
     train: DataFrame, columns: list[str], target: str, kind: str = "logistic", reg: float = 0.0, elastic: float = 0.0
 ) -> PipelineModel:
@@ -83,13 +66,17 @@ def predict_value(model: PipelineModel, rows: DataFrame, columns: list[str]) ->
     return model.transform(rows.na.drop("any", subset=columns)).drop(VECTOR)
 
 
-IMPORTANCE = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
+IMPORTANCE = T.StructType([T.StructField("model", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
+
 
+def importances(fitted: list[Fitted], df: DataFrame) -> DataFrame:
+    """(model, feature, importance): each feature's share in the gain of a model's trees."""
+    return df.sparkSession.createDataFrame([(f.model.name, c, v) for f in fitted for c, v in f.importances.items()], IMPORTANCE)
 
-def importances(model: PipelineModel, columns: list[str], df: DataFrame) -> DataFrame:
-    """Feature importances of a tree model as rows."""
-    values = [float(v) for v in model.stages[-1].featureImportances.toArray()]
-    return df.sparkSession.createDataFrame(list(zip(columns, values)), IMPORTANCE)
+
+def prune(fitted: Fitted, top: int) -> list[str]:
+    """The ``top`` features of a fitted model by importance."""
+    return [c for c, _ in sorted(fitted.importances.items(), key=lambda x: (-x[1], x[0]))][:top]
 
 
 def in_parallel(jobs: dict[tuple, Callable[[], DataFrame]], labels: list[str], threads: int = 4) -> DataFrame:
@@ -100,48 +87,50 @@ def in_parallel(jobs: dict[tuple, Callable[[], DataFrame]], labels: list[str], t
     return reduce(lambda a, b: a.unionByName(b), tagged)
 
 
-def ablate(
-    rows: DataFrame, feature_sets: dict[str, list[str]], splits: list[str], label: str, keep: list[str], **params
-) -> DataFrame:
-    """Out-of-sample probabilities for every feature set and split; rows carry (split, role)."""
+def boost(rows: DataFrame, models: list[Model], growth: Growth = Growth(), group: str = "split") -> tuple[list[Fitted], DataFrame]:
+    """The models fitted together on the training rows, and the scored test rows; rows carry (split, role).
+
+    A model is named ``setting/split``; the scored rows carry both.
+    """
+    fitted = fit(rows.filter("role = 'train'"), models, group, growth)
+    return fitted, named_scores(rows.filter("role = 'test'"), fitted, group)
+
 
-    def job(columns: list[str], split: str) -> Callable[[], DataFrame]:
-        part = rows.filter(F.col("split") == split)
+def named_scores(rows: DataFrame, fitted: list[Fitted], group: str = "split") -> DataFrame:
+    return score(rows, fitted, group).withColumn("setting", F.substring_index("model", "/", 1)).drop("model")
 
-        def run() -> DataFrame:
-            model = fit_classifier(part.filter("role = 'train'"), columns, label, **params)
-            return predict_probability(model, part.filter("role = 'test'"), columns).select(*keep, label, "p")
 
-        return run
+def per_split(settings: dict[str, dict], splits: list[str]) -> list[Model]:
+    """One model for each setting and split; a setting has the fields of ``Model``."""
+    return [Model(f"{name}/{s}", group=s, **(v | {"features": tuple(v["features"])})) for name, v in settings.items() for s in splits]
 
-    jobs = {(name, s): job(columns, s) for name, columns in feature_sets.items() for s in splits}
-    return in_parallel(jobs, ["feature_set", "split"])
 
+def ablate(
+    rows: DataFrame, feature_sets: dict[str, list[str]], splits: list[str], label: str, keep: list[str], growth: Growth = Growth()
+) -> DataFrame:
+    """Out-of-sample probabilities for every feature set and split; rows carry (split, role).
 
-def prune(model: PipelineModel, columns: list[str], top: int) -> list[str]:
-    """The ``top`` most important columns of a fitted tree model."""
-    values = model.stages[-1].featureImportances.toArray()
-    return [c for _, c in sorted(zip(-values, columns))][:top]
+    All feature sets and splits grow in the same jobs.
+    """
+    models = per_split({name: {"features": columns, "label": label} for name, columns in feature_sets.items()}, splits)
+    scored = boost(rows, models, growth)[1]
+    return scored.select(F.col("setting").alias("feature_set"), "split", *keep, label, F.col("score").alias("p"))
 
 
 def fit_conditioned(
-    rows: DataFrame, state: str, states: dict[int, str], columns: list[str], keep: list[str], min_train: int = 30, min_test: int = 10, **params
-) -> DataFrame:
-    """One model per state, trained and scored only on rows of that state with that state's label."""
+    rows: DataFrame, state: str, states: dict[int, str], columns: list[str], splits: list[str], keep: list[str],
+    min_train: int = 30, min_test: int = 10, growth: Growth = Growth(),
+) -> DataFrame:
+    """One model per state and split, trained and scored only on rows of that state with that state's label."""
     sizes = {
-        (r[state], r["role"]): r["n"] for r in rows.groupBy(state, "role").agg(F.count(F.lit(1)).alias("n")).collect()
+        (r["split"], r[state], r["role"]): r["n"] for r in rows.groupBy("split", state, "role").agg(F.count(F.lit(1)).alias("n")).collect()
     }
-    usable = {s: label for s, label in states.items() if sizes.get((s, "train"), 0) >= min_train and sizes.get((s, "test"), 0) >= min_test}
-    if not usable:
+    enough = lambda split, s: sizes.get((split, s, "train"), 0) >= min_train and sizes.get((split, s, "test"), 0) >= min_test
+    own = rows.withColumns({f"_label{s}": F.when(F.col(state) == s, F.col(label)) for s, label in states.items()})
+    models = per_split({str(s): {"features": columns, "label": f"_label{s}"} for s in states}, splits)
+    models = [m for m in models if enough(m.group, int(m.name.split("/")[0]))]
+    if not models:
         raise ValueError("no state has enough rows")
-
-    def job(s: int, label: str) -> Callable[[], DataFrame]:
-        part = rows.filter(F.col(state) == s)
-
-        def run() -> DataFrame:
-            model = fit_classifier(part.filter("role = 'train'"), columns, label, **params)
-            return predict_probability(model, part.filter("role = 'test'"), columns).select(*keep, F.col(label).alias("y"), "p")
-
-        return run
-
-    return in_parallel({(s,): job(s, label) for s, label in usable.items()}, [state])
+    scored = boost(own, models, growth)[1].filter(F.col(state) == F.col("setting").cast("int"))
+    label = F.coalesce(*[F.col(f"_label{s}") for s in states])
+    return scored.select(*keep, "split", state, label.alias("y"), F.col("score").alias("p"))

@@ -365,109 +365,3 @@ def gate_summary(df: DataFrame, gates: dict[str, tuple[str, str]], by: list[str]
     )
     long = df.select(*by, F.inline(F.filter(rows, lambda g: g.blocked)))
     return long.groupBy(*by, "gate", "reason").agg(F.count(F.lit(1)).alias("blocked"))
-
-
-# ---- permutation significance ----------------------------------------------------------------
-
-
-def _unit(*parts: Column) -> Column:
-    """A reproducible uniform number in [0, 1): 52 bits of the MD5 of the parts, as any engine can draw it."""
-    text = F.concat_ws("|", *[c.cast("string") for c in parts])
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
-
-
-def permuted_signals(
-    df: DataFrame, grid: Grid, signal: str, ret: str, kind: str, n: int, seed: int = 42, mean_block: int = 21
-) -> DataFrame:
-    """Rows (key, run, row, signal', ret) for n permutations of the signal, plus run 0 unchanged.
-
-    ``shuffle``: rows are renumbered by a hash within each run; the numbering is carried over hash
-    ranges, so no run has to be sorted in one task. ``shift``: circular shift by a hashed offset.
-    ``bootstrap``: blocks with geometric lengths start at hashed rows. All draws are hashes of
-    (seed, series, run, row): reruns and retried tasks give the same numbers.
-    """
-    from dataclasses import replace
-
-    from barline.grid import last_of, numbered
-
-    key = list(grid.key)
-    rows = numbered(df.filter(F.col(ret).isNotNull() & F.col(signal).isNotNull()), grid, "_row").select(
-        *key, (F.col("_row") - 1).alias("_row"), F.col(signal).alias("_s"), F.col(ret).alias("_r")
-    )
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
-    runs = rows.join(sizes, key).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    real = rows.select(*key, F.lit(0).alias("run"), "_row", F.col("_s").alias("signal"), F.col("_r").alias("ret"))
-    draw, i = [F.lit(seed), *[F.col(c) for c in key], F.col("run")], F.col("_row")
-
-    if kind == "shuffle":
-        ranges = 1 << 10
-        u = _unit(*draw, i)
-        drawn = runs.withColumns({"_u": u, "_bucket": F.floor(u * ranges)})
-        counts = drawn.groupBy(*key, "run", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(*key, "run").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        base = counts.select(*key, "run", "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base"))
-        local = Window.partitionBy(*key, "run", "_bucket").orderBy("_u", "_row")
-        source = drawn.join(base, [*key, "run", "_bucket"]).withColumn("_to", F.col("_base") + F.row_number().over(local) - 1)
-        return real.unionByName(
-            source.select(*key, "run", F.col("_to").alias("_row"), F.col("_s").alias("signal")).join(
-                rows.select(*key, "_row", F.col("_r").alias("ret")), [*key, "_row"]
-            )
-        )
-    if kind == "shift":
-        offset = F.lit(1) + F.floor(_unit(*draw) * (F.col("_size") - 1))
-        target = runs.select(*key, "run", F.pmod(i + offset, F.col("_size")).alias("_row"), F.col("_s").alias("signal"))
-        return real.unionByName(
-            target.join(rows.select(*key, "_row", F.col("_r").alias("ret")), [*key, "_row"])
-        )
-    # A row starts a new block with probability 1/mean_block; otherwise it continues the last block.
-    starts = (i == 0) | (_unit(*draw, i, F.lit("start")) < 1.0 / mean_block)
-    at = F.floor(_unit(*draw, i, F.lit("from")) * F.col("_size"))
-    order = replace(grid, key=(*key, "run"), time="_t", step=1, tie=())
-    marked = runs.withColumns({"_t": F.timestamp_seconds(i), "_shift": F.when(starts, at - i)})
-    filled = running(marked, order, {"_shift": last_of("_shift")})
-    source = filled.select(*key, "run", i.alias("_to"), F.pmod(i + F.col("_shift"), F.col("_size")).alias("_row"), F.col("_r").alias("ret"))
-    moved = source.join(rows.select(*key, "_row", F.col("_s").alias("signal")), [*key, "_row"])
-    return real.unionByName(moved.select(*key, "run", F.col("_to").alias("_row"), "signal", "ret"))
-
-
-STATISTICS = ["sharpe", "cagr", "profit_factor"]
-
-
-def permutation_test(
-    df: DataFrame, grid: Grid, signal: str, ret: str, kind: str, n: int, seed: int = 42, periods: int = 252, cost: float = 0.0012, mean_block: int = 21
-) -> DataFrame:
-    """Per series and statistic, where the real long/flat strategy stands among ``n`` permuted ones.
-
-    The position is 1 where the signal is 1, else 0; every change of position costs ``cost``. A
-    permuted statistic that does not exist counts as 0. ``p`` is the share at or above the real
-    one, ``outlier_share`` the share at or above 1.5 times a positive real one, null otherwise.
-    """
-    from dataclasses import replace
-
-    key = list(grid.key)
-    rows = permuted_signals(df, grid, signal, ret, kind, n, seed, mean_block)
-    rows = rows.withColumns({"_t": F.timestamp_seconds("_row"), "_pos": (F.col("signal") == 1).cast("double")})
-    order = replace(grid, key=(*key, "run"), time="_t", step=1, tie=(), cuts=())
-    rows = over_series(rows, order, {"_before": R.lagged("_pos", 1)})
-    net = F.col("_pos") * F.col("ret") - cost * F.abs(F.col("_pos") - F.coalesce("_before", F.lit(0.0)))
-    rows = rows.withColumn("_net", net)
-    runs = rows.groupBy(*key, "run").agg(
-        (F.avg("_net") / (F.stddev_pop("_net") + 1e-10) * F.sqrt(F.lit(float(periods)))).alias("sharpe"),
-        (F.pow(F.product(1 + F.col("_net")), periods / F.count(F.lit(1))) - 1.0).alias("cagr"),
-        safe_div(F.sum(F.greatest("_net", F.lit(0.0))), -F.sum(F.least("_net", F.lit(0.0)))).alias("profit_factor"),
-    )
-    runs = runs.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in STATISTICS})
-    long = runs.unpivot([*key, "run"], STATISTICS, "statistic", "value")
-    by = [*key, "statistic"]
-    real = long.filter("run = 0").select(*by, F.col("value").alias("real"))
-    drawn = long.filter("run > 0").select(*by, F.coalesce("value", F.lit(0.0)).alias("value")).join(real, by)
-    beats = F.coalesce(F.col("value") >= F.col("real"), F.lit(False))
-    out = drawn.groupBy(*by, "real").agg(
-        F.count(F.lit(1)).alias("runs"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        share(beats).alias("p"),
-        F.avg(F.when(F.col("real") > 0, (F.col("value") >= F.col("real") * 1.5).cast("double"))).alias("outlier_share"),
-    )
-    z = (F.col("real") - F.col("mean")) / (F.col("std") + 1e-10)
-    return out.withColumns({"z": z, "significant": (F.col("p") < 0.05).cast("int"), "outlier": F.coalesce((F.col("outlier_share") > 0).cast("int"), F.lit(0))})

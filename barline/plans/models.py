@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.mathx import safe_div
 from barline.grid import over_series
 from barline.modelling import learners as M
+from barline.modelling import persistence as H
 from barline.modelling import regimes as G
 from barline.modelling import splits as S
 from barline.operators import labels as L
@@ -15,6 +19,7 @@ from barline.operators.evaluation import auc_report, evaluate_signals, rank_conf
 from barline.operators.stats import transitions
 from barline.plans.adapters import BARS_1D, BARS_1D_SQL, bars_1d, lag, lead, roll, table
 from barline.plans.registry import query
+from barline.ranks import quantiles
 from barline.session import materialize
 
 FEATURES = ["r", "vol_short", "vol_ratio", "drawdown", "volume_z"]
@@ -131,18 +136,15 @@ def _(spark, sf):
     rows = prepared(spark, sf).filter("y IS NOT NULL")
     train = rows.filter("role = 'train'")
     weights = S.class_weights(train, "y", ["split"])
-
-    def fit(part):
-        train = S.weighted(part.filter("role = 'train'"), weights, "y", ["split"])
-        return M.predict_probability(M.fit_classifier(train, FEATURES, "y", weight="weight"), part.filter("role = 'test'"), FEATURES)
-
-    return per_split(rows, fit)
+    models = M.per_split({"y": {"features": FEATURES, "label": "y", "weight": "weight"}}, WALKS)
+    return M.boost(S.weighted(rows, weights, "y", ["split"]), models)[1].withColumn("p", F.col("score"))
 
 
 @query("classifier_importances", "split feature importance:6")
 def _(spark, sf):
-    rows = prepared(spark, sf).filter("role = 'train'")
-    return per_split(rows, lambda part: M.importances(M.fit_classifier(part, FEATURES, "y"), FEATURES, part))
+    rows = prepared(spark, sf)
+    fitted = M.fit(rows.filter("role = 'train'"), M.per_split({"y": {"features": FEATURES, "label": "y"}}, WALKS), "split")
+    return M.importances(fitted, rows).withColumn("split", F.substring_index("model", "/", -1))
 
 
 @query("multiclass_forest", "series_id ts split label:i p_bear:6 p_neutral:6 p_bull:6 predicted:i")
@@ -161,12 +163,8 @@ def _(spark, sf):
 @query("boosted_regressor", "series_id ts split target:6 pred:6")
 def _(spark, sf):
     rows = prepared(spark, sf).withColumn("target", safe_div("fwd", "vol_short"))
-
-    def fit(part):
-        model = M.fit_regressor(part.filter("role = 'train'"), FEATURES, "target")
-        return M.predict_value(model, part.filter("role = 'test' AND target IS NOT NULL"), FEATURES)
-
-    return per_split(rows, fit)
+    models = M.per_split({"target": {"features": FEATURES, "label": "target", "squared": True}}, WALKS)
+    return M.boost(rows, models)[1].filter("target IS NOT NULL").withColumn("pred", F.col("score"))
 
 
 @query("linear_baselines", "series_id ts split p:6 pred:6")
@@ -201,7 +199,58 @@ def _(spark, sf):
 def _(spark, sf):
     rows = prepared(spark, sf).filter("fwd IS NOT NULL")
     rows = rows.withColumns({"state": (F.col("drawdown") > -0.1).cast("int"), "down": (F.col("fwd") < -0.02).cast("int")})
-    return per_split(rows, lambda part: M.fit_conditioned(part, "state", {1: "y", 0: "down"}, FEATURES, ["series_id", "ts"]))
+    return M.fit_conditioned(rows, "state", {1: "y", 0: "down"}, FEATURES, WALKS, ["series_id", "ts"])
+
+
+HORIZONS = [3, 5, 7]
+
+
+def horizon_rows(spark, sf):
+    """Tagged rows with the return over each horizon, and that return per unit of short volatility."""
+    df = over_series(
+        bars_1d(spark, sf),
+        BARS_1D,
+        {"r": R.log_return("close"), "drawdown": R.drawdown("close", 90, 1), "volume_z": R.zscore("volume", 30)}
+        | {f"return_{h}": L.fwd_return("close", h) for h in HORIZONS},
+        {"vol_short": R.roll_std("r", 7), "vol_long": R.roll_std("r", 30)},
+    )
+    df = df.withColumns({"vol_ratio": safe_div("vol_short", "vol_long")} | {f"target_{h}": safe_div(f"return_{h}", "vol_short") for h in HORIZONS})
+    kept = ["series_id", "ts", *FEATURES, *[f"{k}_{h}" for h in HORIZONS for k in ("return", "target")]]
+    tagged = S.walk_forward(df.select(*kept).na.drop("any", subset=FEATURES), SPLITS, horizon=max(HORIZONS))
+    return materialize(tagged, "horizon_rows")
+
+
+def ranked_signals(rows, fitted, ret, horizon):
+    """Each setting's and split's signal measures: long above the 70th percentile of the training scores, short below the 30th."""
+    scored = materialize(M.named_scores(rows, fitted), "scores")
+    limits = quantiles(scored.filter("role = 'train'"), "score", {"low": 0.3, "high": 0.7}, ["setting", "split"])
+    test = scored.filter("role = 'test'").join(limits, ["setting", "split"])
+    signal = F.when(F.col("score") > F.col("high"), 1).when(F.col("score") < F.col("low"), -1).otherwise(0)
+    return evaluate_signals(test.withColumn("signal", signal), "signal", ret, ["setting", "split"], horizon)
+
+
+@query("horizon_ablation", "horizon:i split delta:6 sharpe:6 pct_long:6 pct_short:6 pct_neutral:6 n_long:i n_short:i")
+def _(spark, sf):
+    rows = horizon_rows(spark, sf)
+    models = M.per_split({str(h): {"features": FEATURES, "label": f"target_{h}", "squared": True} for h in HORIZONS}, WALKS)
+    fitted = M.fit(rows.filter("role = 'train'"), models, "split")
+    parts = [
+        ranked_signals(rows.filter(f"target_{h} IS NOT NULL"), [f for f in fitted if f.model.name.startswith(f"{h}/")], f"return_{h}", h).withColumn("horizon", F.lit(h))
+        for h in HORIZONS
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("pruned_features", "feature_set features split delta:6 sharpe:6 n_long:i n_short:i")
+def _(spark, sf):
+    rows = prepared(spark, sf).withColumn("target", safe_div("fwd", "vol_short")).filter("target IS NOT NULL")
+    train = rows.filter("role = 'train'")
+    full = M.fit(train, M.per_split({"all": {"features": FEATURES, "label": "target", "squared": True}}, WALKS), "split")
+    sets = {f"top{n}": M.prune(full[-1], n) for n in (3, 2)}
+    models = M.per_split({k: {"features": v, "label": "target", "squared": True} for k, v in sets.items()}, WALKS)
+    fitted = full + M.fit(train, models, "split")
+    names = F.create_map(*[F.lit(x) for k, v in ({"all": FEATURES} | sets).items() for x in (k, ",".join(v))])
+    return ranked_signals(rows, fitted, "fwd", 5).withColumns({"feature_set": F.col("setting"), "features": names[F.col("setting")]})
 
 
 def swept(spark, sf, then=lambda sweep: sweep):
@@ -311,6 +360,62 @@ def _(spark, sf):
     return transitions(df, BARS_1D, "state", ["series_id"])
 
 
+def smoothing_sql(columns: list[str], q: dict) -> str:
+    """Forward and backward recursions over whole series, for two states."""
+    (a00, a01), (a10, a11) = q["transition"]
+    d0, d1 = (
+        " + ".join(f"-0.5 * (ln(2 * pi() * {v}) + pow(({c} - {m}) / {w} - {mu}, 2) / {v})" for c, mu, v, m, w in zip(columns, mean, var, q["center"], q["scale"]))
+        for mean, var in zip(q["means"], q["variances"])
+    )
+    s0, s1 = q["start"]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    return f"""RECURSIVE {FEATURES_SQL}, o0 AS (SELECT series_id, ts, {d0} AS d0, {d1} AS d1 FROM feat WHERE {known}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS n, count(*) OVER (PARTITION BY series_id) AS m,
+      exp(d0 - greatest(d0, d1)) AS e0, exp(d1 - greatest(d0, d1)) AS e1 FROM o0),
+    fw AS (SELECT series_id, n, {s1} * e1 / ({s0} * e0 + {s1} * e1) AS up, ln({s0}) + d0 AS b0, ln({s1}) + d1 AS b1 FROM o WHERE n = 1
+      UNION ALL SELECT o.series_id, o.n, ((1 - up) * {a01} + up * {a11}) * e1 / (((1 - up) * {a00} + up * {a10}) * e0 + ((1 - up) * {a01} + up * {a11}) * e1),
+        greatest(b0 + ln({a00}), b1 + ln({a10})) + d0, greatest(b0 + ln({a01}), b1 + ln({a11})) + d1 FROM fw JOIN o ON o.series_id = fw.series_id AND o.n = fw.n + 1),
+    bw AS (SELECT series_id, n, 0.5::DOUBLE AS u0, 0.5::DOUBLE AS u1, 0::DOUBLE AS c0, 0::DOUBLE AS c1 FROM o WHERE n = m
+      UNION ALL SELECT o.series_id, o.n - 1, ({a00} * e0 * u0 + {a01} * e1 * u1) / ({a00 + a10} * e0 * u0 + {a01 + a11} * e1 * u1), ({a10} * e0 * u0 + {a11} * e1 * u1) / ({a00 + a10} * e0 * u0 + {a01 + a11} * e1 * u1),
+        greatest(ln({a00}) + d0 + c0, ln({a01}) + d1 + c1), greatest(ln({a10}) + d0 + c0, ln({a11}) + d1 + c1) FROM bw JOIN o ON o.series_id = bw.series_id AND o.n = bw.n WHERE bw.n > 1),
+    t AS (SELECT o.series_id, ts, CASE WHEN b0 + c0 >= b1 + c1 THEN 0 ELSE 1 END AS state, up * u1 / ((1 - up) * u0 + up * u1) AS p_up
+      FROM o JOIN fw ON fw.series_id = o.series_id AND fw.n = o.n JOIN bw ON bw.series_id = o.series_id AND bw.n = o.n)"""
+
+
+@query("regime_smoothing", "series_id ts state:i p_up:6", smoothing_sql(REGIME_COLUMNS, REGIME_PARAMS))
+def _(spark, sf):
+    """States and probabilities from the whole series under given parameters."""
+    q = REGIME_PARAMS
+    scaled = [((F.col(c) - m) / w).alias(c) for c, m, w in zip(REGIME_COLUMNS, q["center"], q["scale"])]
+    rows = features(spark, sf).select("series_id", "ts", *scaled)
+    pairs = lambda m: tuple(tuple(map(float, r)) for r in m)
+    chain = H.Chain(tuple(q["start"]), pairs(q["transition"]), pairs(q["means"]), pairs(q["variances"]))
+    return H.smooth(H.chunked(rows, BARS_1D, REGIME_COLUMNS), BARS_1D, chain).withColumn("p_up", F.col("posterior")[1])
+
+
+def persistent(spark, sf):
+    """The chain fitted on all rows from the first training day on, with its chunks and rounds."""
+    rows = features(spark, sf).filter(F.col("ts") >= F.lit(min(s["train_start"] for s in SPLITS if s["name"] in WALKS)).cast("timestamp"))
+    rows = rows.withColumn("_all", F.lit(1))
+    scaled = materialize(S.standardize(rows, rows, FEATURES, ["_all"]), "scaled")
+    chunks = H.chunked(scaled, BARS_1D, FEATURES)
+    chain, rounds = H.fit(chunks, BARS_1D, H.initial(scaled, FEATURES))
+    return chunks, H.sorted_by(chain, FEATURES.index("drawdown")), rounds
+
+
+@query("regime_persistence", "series_id ts state:i p_bull:6")
+def _(spark, sf):
+    chunks, chain, _ = persistent(spark, sf)
+    return H.smooth(chunks, BARS_1D, chain).withColumn("p_bull", F.element_at("posterior", -1))
+
+
+@query("regime_persistence_matrix", "from_state:i to_state:i p:6 mean_duration:4 rounds:i")
+def _(spark, sf):
+    _, chain, rounds = persistent(spark, sf)
+    rows = [(i, j, p, 1.0 / max(1e-12, 1.0 - own[i]), rounds) for i, own in enumerate(chain.transition) for j, p in enumerate(own)]
+    return spark.createDataFrame(rows, "from_state int, to_state int, p double, mean_duration double, rounds int")
+
+
 @query("consensus_k", "split k_silhouette:i k_davies_bouldin:i k_aic:i k:i")
 def _(spark, sf):
     return swept(spark, sf, G.consensus_k)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barline.operators import evaluation as E
+from barline.operators import permutation as P
 from barline.plans.adapters import BARS_4H, SCORES_SQL, lag, scores
 from barline.plans.registry import query
 
@@ -221,43 +222,59 @@ PERMUTATION_COLS = "series_id statistic real:6 runs:i mean:6 std:6 p:6 z:4 signi
 RUNS = 5000
 
 
-def unit_sql(*parts: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws('|', '42', series_id, run, {', '.join(parts)})), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE)".replace(", )", ")")
+def hashed_sql(x: str, a: str, b: str) -> str:
+    t = f"((({x}) + {a}) * {b} % {P.PRIME})"
+    t = f"(({t} * {t} + {a}) % {P.PRIME})"
+    return f"(({t} * {b} + {x}) % {P.PRIME})"
 
 
-#: Per kind, (series_id, run, i, signal): the signal at row i of each run.
+def bijection_sql(source: str) -> str:
+    """``v`` of the rows of ``source`` moved once by the keyed bijection of four rounds."""
+    sql = f"SELECT *, v >> wd AS l, v & ((1::BIGINT << wd) - 1) AS r FROM {source}"
+    for j in range(4):
+        f = hashed_sql("r", f"k{j}", f"k{(j + 1) % 4}")
+        sql = f"SELECT * EXCLUDE (l, r), r AS l, xor(l, ({f} >> 8) & ((1::BIGINT << wd) - 1)) AS r FROM ({sql})"
+    return f"SELECT series_id, run, i, size, held, wd, k0, k1, k2, k3, (l << wd) | r AS v FROM ({sql})"
+
+
+#: Per kind, (series_id, run, i, pos): the position at row i of each run.
 PERMUTED_SQL = {
-    "shuffle": f"""k AS (SELECT *, row_number() OVER (PARTITION BY series_id, run ORDER BY {unit_sql('i')}, i) - 1 AS dest FROM x),
-    d AS (SELECT series_id, run, dest AS i, signal FROM k)""",
-    "shift": f"""k AS (SELECT *, (i + 1 + floor({unit_sql()} * (size - 1))::BIGINT) % size AS dest FROM x),
-    d AS (SELECT series_id, run, dest AS i, signal FROM k)""",
-    "bootstrap": f"""k0 AS (SELECT *, CASE WHEN i = 0 OR {unit_sql('i', "'start'")} < 1::DOUBLE / 21 THEN floor({unit_sql('i', "'from'")} * size)::BIGINT - i END AS shift FROM x),
+    "shuffle": f"""w AS ({bijection_sql('x')} UNION ALL {bijection_sql('(SELECT * FROM w WHERE v >= size)')}),
+    d AS (SELECT series_id, run, i, (v < held)::INT AS pos FROM w WHERE v < size)""",
+    "shift": """k AS (SELECT *, ((i - 1 - k0 % greatest(1, size - 1)) % size + size) % size AS src FROM x),
+    d AS (SELECT k.series_id, k.run, k.i, n.lng AS pos FROM k JOIN n ON n.series_id = k.series_id AND n.i = k.src)""",
+    "bootstrap": f"""k0 AS (SELECT *, CASE WHEN i = 0 OR {hashed_sql('i', 'k0', 'k1')} * 21 < {P.PRIME} THEN {hashed_sql('i', 'k2', 'k3')} % size - i END AS shift FROM x),
     k AS (SELECT *, last_value(shift IGNORE NULLS) OVER (PARTITION BY series_id, run ORDER BY i) AS moved FROM k0),
-    d AS (SELECT k.series_id, k.run, k.i, n.signal FROM k JOIN n ON n.series_id = k.series_id AND n.i = ((k.i + k.moved) % k.size + k.size) % k.size)""",
+    d AS (SELECT k.series_id, k.run, k.i, n.lng AS pos FROM k JOIN n ON n.series_id = k.series_id AND n.i = ((k.i + k.moved) % k.size + k.size) % k.size)""",
 }
 
 
 def permutation_sql(kind: str) -> str:
-    return f"""{SCORES_SQL}, n AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, signal, ret * 0.01 AS ret,
-      count(*) OVER (PARTITION BY series_id) AS size FROM scores WHERE ret IS NOT NULL AND signal IS NOT NULL),
-    x AS (SELECT n.*, run FROM n, range(1, {RUNS + 1}) v(run)), {PERMUTED_SQL[kind]},
-    a AS (SELECT series_id, 0 AS run, i, signal FROM n UNION ALL SELECT series_id, run, i, signal FROM d),
-    b AS (SELECT a.series_id, run, a.i, (a.signal = 1)::INT AS pos, n.ret FROM a JOIN n USING (series_id, i)),
+    keys = ", ".join(f"1 + ('0x' || substr(h, {8 * j + 1}, 8))::BIGINT % {P.PRIME - 1} AS k{j}" for j in range(4))
+    return f"""RECURSIVE {SCORES_SQL}, n AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, (signal = 1)::INT AS lng, ret * 0.01 AS ret
+      FROM scores WHERE ret IS NOT NULL AND signal IS NOT NULL),
+    z0 AS (SELECT series_id, count(*) AS size, sum(lng) AS held FROM n GROUP BY 1),
+    y AS (SELECT series_id, size, held, run, greatest(1, (length(bin(greatest(size - 1, 1))) + 1) // 2) AS wd, md5('42|' || series_id || '|' || run) AS h FROM z0, range(1, {RUNS + 1}) v(run)),
+    u AS (SELECT * EXCLUDE (h), {keys} FROM y),
+    x AS (SELECT series_id, run, i, size, held, wd, k0, k1, k2, k3, i AS v FROM u JOIN n USING (series_id)), {PERMUTED_SQL[kind]},
+    a AS (SELECT series_id, 0 AS run, i, lng AS pos FROM n UNION ALL SELECT series_id, run, i, pos FROM d),
+    b AS (SELECT a.series_id, run, a.i, pos, n.ret FROM a JOIN n USING (series_id, i)),
     c AS (SELECT *, pos * ret - 0.0012 * abs(pos - coalesce(lag(pos) OVER (PARTITION BY series_id, run ORDER BY i), 0)) AS net FROM b),
-    e AS (SELECT series_id, run, avg(net) / (stddev_pop(net) + 1e-10) * sqrt(252) AS sharpe, pow(product(1 + net), 252.0 / count(*)) - 1 AS cagr,
+    e AS (SELECT series_id, run, avg(net) / (stddev_pop(net) + 1e-10) * sqrt(252) AS sharpe,
+      CASE WHEN product(1 + net) >= 0 THEN pow(product(1 + net), 252.0 / count(*)) - 1 END AS cagr,
       sum(greatest(net, 0)) / nullif(-sum(least(net, 0)), 0) AS profit_factor FROM c GROUP BY 1, 2),
     l AS (SELECT series_id, run, 'sharpe' AS statistic, sharpe AS value FROM e UNION ALL SELECT series_id, run, 'cagr', cagr FROM e
       UNION ALL SELECT series_id, run, 'profit_factor', profit_factor FROM e),
     z AS (SELECT l.series_id, l.statistic, r.value AS real, coalesce(l.value, 0) AS value FROM l JOIN l r ON r.series_id = l.series_id AND r.statistic = l.statistic AND r.run = 0 WHERE l.run > 0),
-    t0 AS (SELECT series_id, statistic, real, count(*) AS runs, avg(value) AS mean, stddev_pop(value) AS std, avg(coalesce(value >= real, false)::INT) AS p,
-      avg(CASE WHEN real > 0 THEN (value >= 1.5 * real)::INT END) AS outlier_share FROM z GROUP BY 1, 2, 3),
+    t0 AS (SELECT series_id, statistic, real, count(*) AS runs, avg(value) AS mean, stddev_pop(value) AS std, avg(coalesce(value >= real - abs(real) * 1e-9, false)::INT) AS p,
+      avg(CASE WHEN real > 0 THEN (value >= 1.5 * real - abs(real) * 1e-9)::INT END) AS outlier_share FROM z GROUP BY 1, 2, 3),
     t AS (SELECT *, (real - mean) / (std + 1e-10) AS z, (p < 0.05)::INT AS significant, coalesce((outlier_share > 0)::INT, 0) AS outlier FROM t0)"""
 
 
 def permutation(kind: str):
     @query(f"permutation_{kind}", PERMUTATION_COLS, permutation_sql(kind))
     def _(spark, sf):
-        return E.permutation_test(scaled_scores(spark, sf), BARS_4H, "signal", "ret", kind, RUNS)
+        return P.permutation_test(scaled_scores(spark, sf), BARS_4H, "signal", "ret", kind, RUNS)
 
 
 for _kind in PERMUTED_SQL:

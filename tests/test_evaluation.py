@@ -54,36 +54,6 @@ def test_performance(trades, lag, on):
     assert got.trades == (turn != 0).sum()
 
 
-@pytest.mark.parametrize("kind", ["shuffle", "shift", "bootstrap"])
-def test_permutations(trades, kind):
-    pdf, df = trades
-    rows = E.permuted_signals(df, GRID, "pos", "ret", kind, 5).toPandas()
-    assert rows.groupby("run").size().eq(len(pdf)).all()
-    for run, part in rows.groupby("run"):
-        part = part.sort_values("_row")
-        close_to(part.ret, pdf.ret)
-        if kind != "bootstrap" or run == 0:
-            assert sorted(part.signal) == sorted(pdf.pos)
-        if run == 0:
-            close_to(part.signal, pdf.pos)
-        if kind == "shift" and run:
-            assert any(np.array_equal(np.roll(pdf.pos, k), part.signal) for k in range(1, len(pdf)))
-    again = E.permuted_signals(df, GRID, "pos", "ret", kind, 5).toPandas()
-    key = ["run", "_row"]
-    close_to(rows.sort_values(key).signal, again.sort_values(key).signal)
-    got = {r.statistic: r for r in E.permutation_test(df, GRID, "pos", "ret", kind, 5).collect()}
-    assert set(got) == set(E.STATISTICS) and all(0 <= r.p <= 1 and r.runs == 5 for r in got.values())
-    held = (pdf.pos == 1).astype(float)
-    net = held * pdf.ret - 0.0012 * (held - held.shift(1).fillna(0)).abs()
-    assert abs(got["sharpe"].real - net.mean() / (net.std(ddof=0) + 1e-10) * 252**0.5) < 1e-8
-    growth = (1 + net).prod()
-    if growth > 0:
-        assert abs(got["cagr"].real - (growth ** (252 / len(net)) - 1)) < 1e-8
-    else:
-        assert got["cagr"].real is None and got["cagr"].p == 0
-    assert abs(got["profit_factor"].real - net[net > 0].sum() / -net[net < 0].sum()) < 1e-8
-
-
 def test_p_values():
     assert abs(mathx.t_tail(2.0, 10) - 0.07338803) < 1e-8
     assert abs(mathx.t_tail(1.0, 1) - 0.5) < 1e-12

@@ -51,7 +51,7 @@ def test_registry_is_complete():
     unstated = set(queries) - set(sql)
     # Tested against plain Python in tests/llm.
     unstated -= {n for n in unstated if n.startswith(("op2_", "op6_", "op10_", "pipeline"))}
-    assert all(n.startswith(("boosted", "classifier", "multiclass", "linear", "feature_set", "ablation", "state_cond", "cluster_sweep", "principal", "regime_states", "consensus_k", "walk_forward_regimes")) for n in unstated)
+    assert all(n.startswith(("boosted", "classifier", "multiclass", "linear", "feature_set", "ablation", "state_cond", "cluster_sweep", "principal", "regime_states", "consensus_k", "walk_forward_regimes", "horizon_ablation", "pruned_features", "regime_persistence")) for n in unstated)
 
 
 def test_entry_runs(spark):
