@@ -34,6 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +43,16 @@ from barline.session import materialize
 
 DEPTH, LEAST, TOP, COVERED, SCALE = 4, 30, 2000, 80, 2_000_000
 NONE = "und"
-SLICE = 4 << 20
-SAMPLE_BYTES, SAMPLE_EVERY, RANGE_PLACES = 32 << 20, 32, 2 << 20
+SLICE = 6 << 20
+SAMPLE_BYTES, SAMPLE_EVERY, RANGE_PLACES = 32 << 20, 32, 3 << 20
 #: Positions of the word filter, and of one of Spark's bitmaps.
 FILTER_BITS, BITMAP = 1 << 27, 1 << 15
 #: Words of one slice that fit into the 16-bit fields of a packed pointer; more are cut by places.
 CODES, PLACES = 65_534, 60_000
 BREAK = byte_class(".,;:!?\n\v\f\r")
 GAP = BREAK | byte_class(" \t")
-ROUTED = "range int, lang string, words array<string>, suffixes binary, weights binary, places long"
+#: Words of a part joined by spaces, its suffixes (one row of 16-bit codes per depth), and their weights; all as Zstandard frames.
+ROUTED = "range int, lang string, words binary, suffixes binary, weights binary, places long"
 COUNTED = "lang string, phrase string, k int, a long"
 Suffix = tuple[str, ...]
 
@@ -189,6 +191,7 @@ def _route(borders: list[tuple[str, Suffix]], known: Callable[[], np.ndarray]):
     langs = [lang for lang, _ in borders]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for lang, texts in _texts(batches):
             base = bisect_left(langs, lang)
             own = [s for x, s in borders[base:] if x == lang]
@@ -196,8 +199,7 @@ def _route(borders: list[tuple[str, Suffix]], known: Callable[[], np.ndarray]):
                 words = spelt.to_pylist()
                 cuts = np.searchsorted(keys, np.array([_border(words, s) for s in own], np.uint64))
                 edges = [0, *cuts.tolist(), len(keys)]
-                at, size, suffixes, counts = [base], [0], [b""], [b""]
-                used = [np.zeros(0, np.int64)]
+                rows: list[tuple] = [(base, b"", b"", b"")]
                 for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
                     if lo == hi:
                         continue
@@ -205,15 +207,12 @@ def _route(borders: list[tuple[str, Suffix]], known: Callable[[], np.ndarray]):
                     seen = np.flatnonzero(np.bincount(fields.ravel(), minlength=1)[1:])
                     small = np.zeros(len(words) + 1, np.uint16)
                     small[seen + 1] = np.arange(1, len(seen) + 1)
-                    at.append(base + i)
-                    size.append(len(seen))
-                    used.append(seen)
-                    suffixes.append(small[fields].tobytes())
-                    counts.append(weights[lo:hi].astype(np.uint32).tobytes())
-                offsets = pa.array(np.cumsum([0, *size]).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, spelt.take(pa.array(np.concatenate(used))).cast(pa.string()))
-                columns = [pa.array(at, pa.int32()), pa.array([lang] * len(at), pa.string()), lists, pa.array(suffixes, pa.binary()), pa.array(counts, pa.binary())]
-                total = pa.array([n] + [0] * (len(at) - 1), pa.int64())
+                    spelt_here = " ".join([words[j] for j in seen.tolist()]).encode()
+                    parts = (spelt_here, small[fields].tobytes(), weights[lo:hi].astype(np.uint32).tobytes())
+                    rows.append((base + i, *map(pack.compress, parts)))
+                at, *blobs = zip(*rows)
+                columns = [pa.array(at, pa.int32()), pa.array([lang] * len(rows), pa.string()), *[pa.array(b, pa.binary()) for b in blobs]]
+                total = pa.array([n] + [0] * (len(rows) - 1), pa.int64())
                 yield pa.RecordBatch.from_arrays([*columns, total], ["range", "lang", "words", "suffixes", "weights", "places"])
 
     return task
@@ -249,17 +248,18 @@ def quicksort(columns: np.ndarray, weights: np.ndarray, least: int) -> Iterator[
 
 def _count(borders: list[tuple[str, Suffix]], least: int):
     def counted(at: int, lang: str, blobs: list[tuple]) -> pa.RecordBatch:
-        coded = pa.concat_arrays([b[0] for b in blobs]).dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        parts, base = [], 0
-        for own, suffixes, _, _ in blobs:
-            known = np.concatenate([[0], code[base : base + len(own)] + 1]).astype(np.int32)
+        number: dict[str, int] = {}
+        parts, each = [], []
+        for spelt, suffixes, weights, _ in blobs:
+            own = [number.setdefault(w, len(number) + 1) for w in spelt.decode().split(" ")] if spelt else []
+            known = np.array([0, *own], np.int32)
             parts.append(known[np.frombuffer(suffixes, np.uint16).reshape(DEPTH, -1)])
-            base += len(own)
+            each.append(np.frombuffer(weights, np.uint32).astype(np.int64))
+        words = list(number)
         columns = np.concatenate(parts, axis=1)
-        weights = np.concatenate([np.frombuffer(b[2], np.uint32) for b in blobs]).astype(np.int64)
+        weights = np.concatenate(each)
         rows: list[tuple[str, int, int]] = [("", 0, sum(b[3] for b in blobs))]
-        number, split = {w: i + 1 for i, w in enumerate(words)}, set()
+        split = set()
         for x, suffix in borders[max(0, at - 1) : at + 1]:
             for k in range(1, len(suffix) + 1) if x == lang else ():
                 codes = tuple(number.get(w, -1) for w in suffix[:k])
@@ -274,16 +274,14 @@ def _count(borders: list[tuple[str, Suffix]], least: int):
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(phrase, pa.string()), pa.array(k, pa.int32()), pa.array(a, pa.int64())], ["lang", "phrase", "k", "a"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
+        now, blobs, unpack = None, [], zstandard.ZstdDecompressor()
         for batch in batches:
-            lists = batch.column("words")
-            columns = (batch.column(c).to_pylist() for c in ("range", "lang", "suffixes", "weights", "places"))
-            for i, (at, lang, *blob) in enumerate(zip(*columns)):
+            for at, lang, *blob, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != (at, lang):
                     if blobs:
                         yield counted(*now, blobs)
                     now, blobs = (at, lang), []
-                blobs.append((lists[i].values, *blob))
+                blobs.append((*[unpack.decompress(x) if x else x for x in blob], n))
         if blobs:
             yield counted(*now, blobs)
 
