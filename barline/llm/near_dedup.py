@@ -15,8 +15,10 @@ bounded blocks.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; a text with
 fewer words than a shingle is its whole word sequence; a null ``doc_id`` is linked with nothing
-and has no component; rows that repeat a ``doc_id`` are one node; an empty table gives no rows;
-columns other than ``doc_id`` and ``text`` are not read.
+and has no component; a node is a set of shingles with the smallest id that has it, so rows that
+repeat a ``doc_id`` with another text are judged by their own text, and ``component_id`` is the
+smallest id in the row's component; an empty table gives no rows; columns other than ``doc_id``
+and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.components import components
@@ -48,6 +50,10 @@ def _sets(words: Words, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarra
     return [np.unique(hashes[lo:hi]) for lo, hi in zip(starts[:-1], starts[1:])], hashes, starts
 
 
+def _content(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
 def _features(k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(MINIMA)
@@ -65,12 +71,13 @@ def _features(k: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("key"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([_content(s) for s in sets], pa.binary()),
                     pa.array(sign, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "content", "minima", "bands"],
+                ["doc_id", "key", "n_shingles", "content", "minima", "bands"],
             )
 
     return task
@@ -80,7 +87,9 @@ def _set_bytes(k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets, _, _ = _sets(Words(take(part), lower=True), k)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+            own = [_content(s) == c for s, c in zip(sets, part.column("content").to_pylist())]
+            ids = part.column("id").filter(pa.array(own, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s, o in zip(sets, own) if o], pa.binary())], ["id", "shingles"])
 
     return task
 
@@ -105,12 +114,12 @@ def _emit(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block of a bucket, the (document, other component) pairs that signatures allow.
+    """Per pair of blocks of a bucket, the (document, other component) pairs that signatures allow.
 
     A pair of documents counts in the first band that it shares only.
     """
     out = []
-    for rows in _groups(batches, ["band", "key", "block"]):
+    for rows in _groups(batches, ["band", "key", "block", "side"]):
         there, asked = [r for r in rows if not r["asks"]], [r for r in rows if r["asks"]]
         if not there or not asked:
             continue
@@ -187,14 +196,19 @@ def _links(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition(*block).sortWithinPartitions(*block, "asks", "id").mapInArrow(tidy(_compare), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
-    docs = documents(docs)
-    schema = "doc_id long, n_shingles long, content binary, minima binary, bands array<long>"
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _classed(docs: DataFrame, shingle: int, search: int = SEARCH) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, node, kept) for every row; ``key`` is the hash of its text."""
+    docs = documents(docs).withColumn("key", _text_key("text"))
+    schema = "doc_id long, key long, n_shingles long, content binary, minima binary, bands array<long>"
     feats = materialize(docs.mapInArrow(tidy(_features(shingle)), schema), "features")
     linked = feats.where("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = linked.groupBy("content").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "minima", "bands")])
-    reps = materialize(reps, "representatives")
+    reps = linked.groupBy("content").agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n_shingles", "minima", "bands")])
+    # Numbers of their own: with repeated ids, two sets may have the same smallest id.
+    reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "representatives")
 
     rows = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
@@ -204,9 +218,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     best = buckets.join(pivots, ["band", "key"]).where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
     best = best.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("component"))
 
-    wanted = degree.select("id")
-    texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = materialize(texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(tidy(_set_bytes(shingle)), "id long, shingles binary"), "sets")
+    wanted = reps.join(degree.select("id"), "id", "left_semi").select("id", "content", F.col("low").alias("doc_id"))
+    texts = docs.join(wanted, "doc_id").select("id", "content", "text")
+    sets = texts.mapInArrow(tidy(_set_bytes(shingle)), "id long, shingles binary").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets, "sets")
 
     alone = best.select(F.col("component").alias("id"), "component").distinct()
     links = materialize(_links(best, alone, sets), "links")
@@ -214,12 +229,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     named = buckets.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = named.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
-    split = split.groupBy("band", "key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    open_rows = named.join(split, ["band", "key"]).select("band", "key", "id", "component", (F.col("component") != F.col("largest")).cast("int").alias("outside"), F.ceil(F.col("size") / F.lit(float(SEARCH))).cast("int").alias("blocks"))
+    split = split.groupBy("band", "key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("n_outside")
+    ).where("parts > 1")
+    open_rows = named.join(split, ["band", "key"]).select("band", "key", "id", "component", (F.col("component") != F.col("largest")).cast("int").alias("outside"), *[F.ceil(F.col(c) / F.lit(float(search))).cast("int").alias(n) for c, n in (("size", "blocks"), ("n_outside", "sides"))])
     open_rows = open_rows.join(reps.select("id", "n_shingles", "minima", "bands"), "id")
-    there = open_rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
-    asked = open_rows.where("outside = 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    block = ["band", "key", "block"]
+    # Both sides are cut into blocks, so a group holds about two times ``search`` rows at most.
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    there = open_rows.withColumn("block", own("blocks")).withColumn("side", every("sides")).withColumn("asks", F.lit(False))
+    asked = open_rows.where("outside = 1").withColumn("side", own("sides")).withColumn("block", every("blocks")).withColumn("asks", F.lit(True))
+    block = ["band", "key", "block", "side"]
     found = there.unionByName(asked).repartition(*block).sortWithinPartitions(*block, "asks", "id").mapInArrow(tidy(_search), "id long, component long")
     asks = materialize(found.distinct(), "asks")
     inside = asks.select("component").distinct()
@@ -227,17 +247,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     more = _links(asks, members, sets)
     comps = components(links.union(more))
 
-    classes = reps.join(comps, "id", "left").select("content", F.coalesce("component", "id").alias("component"))
-    out = feats.select("doc_id", "n_shingles", "content").join(classes, "content", "left")
+    classes = reps.join(comps, "id", "left").select("content", "low", F.coalesce("component", "id").alias("node"))
+    lowest = comps.join(reps.select("id", "low"), "id").groupBy(F.col("component").alias("node")).agg(F.min("low").alias("least"))
+    classes = classes.join(lowest, "node", "left").select("content", "node", F.coalesce("least", "low").alias("component"))
+    out = feats.select("doc_id", "key", "n_shingles", "content").join(classes, "content", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "key", "n_shingles", component.alias("component_id"), "node", F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, search: int = SEARCH) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    return _classed(docs, shingle, search).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def drop_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def drop_copies(docs: DataFrame, shingle: int = SHINGLE, search: int = SEARCH) -> DataFrame:
     """``docs`` with one document of each component: its smallest id, repeated rows once.
 
-    Rows without an id stay. All columns are unchanged.
+    Rows without an id stay. Of one id's texts in a component one stays; its texts in other
+    components stay as well. All columns are unchanged.
     """
-    ids = near_duplicates(docs, shingle).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    kept = _classed(docs, shingle, search).where("kept AND doc_id IS NOT NULL")
+    alone = F.when(F.col("node").isNull(), F.col("key"))
+    kept = kept.groupBy("doc_id", "node", alone.alias("alone")).agg(F.min("key").alias("__near_key"))
+    rows = docs.where("doc_id IS NOT NULL").withColumns({"__near_key": _text_key("text"), "__near_id": F.col("doc_id").cast("bigint")})
+    kept = kept.select(F.col("doc_id").alias("__near_id"), "__near_key")
+    first = rows.join(kept, ["__near_id", "__near_key"], "left_semi").dropDuplicates(["__near_id", "__near_key"])
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    return first.select(*plain).unionByName(docs.where("doc_id IS NULL").select(*plain))

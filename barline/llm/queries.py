@@ -163,8 +163,8 @@ f AS (
   SELECT doc_id, i, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM raw),
 l AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f WHERE n > 0),
-e AS (
-  SELECT a.doc_id, a.j AS first, min(b.j) AS last FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.run - a.run + a.n >= {line_dedup.WORDS} GROUP BY 1, 2),
+r AS (SELECT a.doc_id, a.j AS first, b.j AS last FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.run - a.run + a.n >= {line_dedup.WORDS}),
+e AS (SELECT doc_id, first, min(last) AS last FROM r GROUP BY doc_id, first UNION SELECT doc_id, max(first), last FROM r GROUP BY doc_id, last),
 w AS (
   SELECT e.doc_id, first, last, string_agg(line, chr(10) ORDER BY j) AS passage FROM e JOIN l ON l.doc_id = e.doc_id AND j BETWEEN first AND last GROUP BY 1, 2, 3),
 k AS (

@@ -58,25 +58,3 @@ def test_equals_a_comparison_of_all_runs(spark):
     want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in brute_of) for (d, t), brute_of in zip(rows, brute(rows).values())}
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, KINDS)).collect()}
     assert got == want
-
-
-def test_equals_the_sql_with_windows_up_to_each_line(spark):
-    """The registered SQL has windows from each line on only; here those up to each line are added to it."""
-    import os
-
-    import duckdb
-
-    from barline.llm.queries import QUERIES, SQL
-    from check import canonical
-
-    sf = "/root/testdata/sf0.001"
-    if not os.path.isdir(sf):
-        pytest.skip("test tables are absent")
-    on = f"FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.j >= a.j AND b.run - a.run + a.n >= {line_dedup.WORDS}"
-    more = f"e AS (SELECT b.doc_id, max(a.j) AS first, b.j AS last {on} GROUP BY b.doc_id, b.j UNION "
-    sql = SQL["op5_line_dedup"]
-    assert sql.count("\ne AS (\n") == 1
-    con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    want = con.sql(sql.replace("\ne AS (\n", "\n" + more)).df()
-    assert canonical(QUERIES["op5_line_dedup"](spark, sf).toPandas()) == canonical(want)
