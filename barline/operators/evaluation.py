@@ -310,6 +310,11 @@ def pareto(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.join(front, a).filter(F.col(b) == F.col("_best")).drop("_best")
 
 
+def meets(df: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """Rows above every floor; a missing measure does not meet its floor."""
+    return df.filter(reduce(lambda a, b: a & b, [F.col(c) > v for c, v in floors.items()]))
+
+
 def rank_configs(df: DataFrame, config: str, metric: str) -> DataFrame:
     """Mean metric per configuration over its splits, ranked."""
     means = df.groupBy(config).agg(F.avg(metric).alias("mean"), F.count(metric).alias("splits"))

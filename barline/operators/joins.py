@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.grid import Grid, Roll, last_of, over_series, running
+from barline.grid import Grid, Roll, Running, last_of, over_series, running
 
 SIDE = "_side"
 
@@ -139,6 +139,38 @@ def range_agg(
     return found.groupBy(*grid.key, *id_cols, F.col("_from").alias(grid.time)).agg(*aggs)
 
 
+def range_fold(events: DataFrame, series: DataFrame, grid: Grid, seconds: int, folds: dict[str, Running], id_cols: list[str]) -> DataFrame:
+    """Fold the series (min, max or sum) over [t, t + seconds) of every event, without pairs of events and rows.
+
+    Time is cut into slots of ``seconds``. A window is the end of the event's slot and the beginning
+    of the next one, so two running folds within the slots answer every window: one from the slot's
+    end back to t, one from the next slot's start up to t + seconds. Events take part as probes; the
+    table has one row per series row and two per event, whatever they have in common. A slot of any
+    size is chunked by ``grid`` like a series. An event without rows in reach is kept with nulls.
+    """
+    keys, end = list(grid.key), F.expr(f"INTERVAL {seconds} SECONDS")
+    time = F.col(grid.time)
+
+    def part(df: DataFrame, at: Column, kind: int, ids: list[str], values: dict[str, Column]) -> DataFrame:
+        own = [F.col(c).alias(f"_id{i}") if c in ids else F.lit(None).cast(events.schema[c].dataType).alias(f"_id{i}") for i, c in enumerate(id_cols)]
+        begun = time if ids or not values else F.lit(None).cast(events.schema[grid.time].dataType)
+        given = [values.get(n, F.lit(None)).cast("double").alias(f"_v_{n}") for n in folds]
+        return df.select(*keys, at.alias("_at"), F.lit(kind).alias("_kind"), (F.lit(kind) == 0).cast("int").alias("_tie"), begun.alias("_from"), *own, *given)
+
+    table = part(series, time, 0, [], {n: f.column for n, f in folds.items()})
+    for kind, at in ((1, time), (2, time + end)):
+        table = table.unionByName(part(events, at, kind, id_cols, {}))
+    table = table.withColumn("_slot", F.floor(F.unix_seconds(F.col("_at").cast("timestamp")) / seconds))
+    # At equal times a row comes after a probe, so windows begin with t and end before t + seconds.
+    order = replace(grid, key=(*keys, "_slot"), time="_at", tie=("_tie",))
+    back = running(table, order, {f"_b_{n}": Running(f.kind, F.col(f"_v_{n}")) for n, f in folds.items()}, reverse=True, keep_chunk=True)
+    both = running(back, order, {f"_f_{n}": Running(f.kind, F.col(f"_v_{n}")) for n, f in folds.items()})
+    merge = {"min": F.min, "max": F.max, "sum": F.sum}
+    found = [merge[f.kind](F.when(F.col("_kind") == 1, F.col(f"_b_{n}")).otherwise(F.col(f"_f_{n}"))).alias(n) for n, f in folds.items()]
+    ids = [F.col(f"_id{i}").alias(c) for i, c in enumerate(id_cols)]
+    return both.filter("_kind > 0").groupBy(*keys, *ids, F.col("_from").alias(grid.time)).agg(*found)
+
+
 def event_windows(df: DataFrame, dates: DataFrame, grid: Grid, pre: int = 3, post: int = 3) -> DataFrame:
     """Flags: the row is on an event date, within ``pre`` rows before one, within ``post`` rows after one."""
     marked = df.join(dates.select(grid.time).distinct().withColumn("is_event", F.lit(1)), grid.time, "left")

@@ -73,6 +73,15 @@ def poisson_zscore(df: DataFrame, asof: str, by: list[str], time: str = "publish
     )
 
 
+def stress(df: DataFrame, asof: str, by: list[str], time: str = "published_at", z: float = 2.0, sentiment: float = -0.3) -> DataFrame:
+    """Per group, whether news comes unusually often (z of the last hour above ``z``) and is bad (sentiment of the last hour below ``sentiment``)."""
+    inside = in_window(time, asof, 1)
+    count = lambda kind: F.count_if(inside & (F.col("sentiment") == kind))
+    balance = F.coalesce(safe_div(count("POSITIVE") - count("NEGATIVE"), F.count_if(inside)), F.lit(0.0))
+    out = count_zscore(df, asof, by, time).join(df.groupBy(*by).agg(balance.alias("sentiment_score")), by)
+    return out.withColumn("high_stress", (F.col("z") > z) & (F.col("sentiment_score") < sentiment))
+
+
 def _recent(df: DataFrame, asof: str, hours: int, time: str) -> DataFrame:
     rows = df.filter(in_window(time, asof, hours))
     return rows.withColumn("weighted", F.col("score") * source_weight("source"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barline.functions.mathx import clip, entropy2, safe_div
+from barline.grid import over_series
 from barline.operators import contracts as C
+from barline.operators import rolling as R
 from barline.plans.adapters import (
     BARS_1D,
     BARS_1D_SQL,
@@ -304,6 +306,27 @@ def _(spark, sf):
     return out.groupBy("series_id", "feature", "known_asset").agg(F.count(F.lit(1)).alias("rows"))
 
 
+WIDE_CONFIG = {"assets": {"1-urgent": ["close", "volume"]}, "indices": {"1-urgent": ["open"], "5-low": ["high", "trades"]}}
+
+
+@query(
+    "wide_projection",
+    "asset series_id ts a:4 b:4",
+    f"""{BARS_1D_SQL}, t AS (SELECT '1-URGENT' AS asset, series_id, ts, close AS a, volume AS b FROM bars WHERE series_id = '1-URGENT'
+      UNION ALL SELECT '5-LOWUSDT', series_id, ts, high, trades FROM bars WHERE series_id = '5-LOW')""",
+)
+def _(spark, sf):
+    """Each asset's configured columns of the wide table, under common names; assets win over indices."""
+    bars = bars_1d(spark, sf)
+
+    def of(asset: str, series: str):
+        own = C.select_features(bars.filter(F.col("series_id") == series), WIDE_CONFIG, asset)
+        a, b = own.columns[2:]
+        return own.select(F.lit(asset).alias("asset"), "series_id", "ts", F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+
+    return of("1-URGENT", "1-URGENT").unionByName(of("5-LOWUSDT", "5-LOW"))
+
+
 FAMILIES = [
     {"name": "alpha", "source": "F", "categories": ["1-URGENT", "2-HIGH"], "features": {"ret": ["r1", "r5"], "vol": ["v7"]}},
     {"name": "beta", "source": "O", "categories": ["1-URGENT", "3-MEDIUM"], "features": {"z": ["z30"]}},
@@ -353,3 +376,17 @@ def _(spark, sf):
     return C.check_probs(df, ["p", "q"], "e", ["series_id"])
 
 
+@query(
+    "probability_difference",
+    "p:6 q:6",
+    f"""{BARS_4H_SQL}, a AS (SELECT series_id, ts, taker_buy_quote_volume / quote_volume AS p FROM bars),
+    b AS (SELECT series_id, ts, taker_buy_base_volume / volume AS p, avg(taker_buy_base_volume / volume) OVER (PARTITION BY series_id ORDER BY ts ROWS 2 PRECEDING) AS m FROM bars),
+    t AS (SELECT max(abs(a.p - b.p)) AS p, max(abs(1 - a.p - (1 - m))) AS q FROM a LEFT JOIN b USING (series_id, ts))""",
+)
+def _(spark, sf):
+    """The largest difference between two tables of probabilities: of the bars, and of their three-bar means."""
+    bars = bars_4h(spark, sf)
+    one = bars.select("series_id", "ts", F.try_divide("taker_buy_quote_volume", "quote_volume").alias("p")).withColumn("q", 1 - F.col("p"))
+    other = bars.select("series_id", "ts", F.try_divide("taker_buy_base_volume", "volume").alias("p"))
+    other = over_series(other, BARS_4H, {"_m": R.roll_mean("p", 3, 1)}).select("series_id", "ts", "p", (1 - F.col("_m")).alias("q"))
+    return C.max_abs_difference(one, other, ["series_id", "ts"], ["p", "q"])

@@ -135,23 +135,20 @@ def _(spark, sf):
     return X.orderbook_features(depth(spark, sf), BARS_1D)
 
 
-PRIO = ["1-URGENT", "5-LOW"]
+INDICES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+INDEX_LABELS = {"zscore_30d": "z", "change_7d": "change", "ma_ratio": "ma"}
 
 
 @query(
     "index_features",
-    "ts urgent_z:6 urgent_change:6 urgent_ma:6 low_z:6 low_change:6 low_ma:6",
-    f"""{BARS_1D_SQL}, a AS (SELECT series_id, ts, {z_sql('close', 30, 1)} AS z, close / {lag('close', 7)} - 1 AS c, close / {roll('avg(close)', 'close', 30, 1)} AS m
-      FROM bars WHERE series_id IN ('1-URGENT', '5-LOW')),
-    t AS (SELECT ts, {', '.join(f"max({c}) FILTER (WHERE series_id = '{s}') AS {n}_{l}" for s, n in (('1-URGENT', 'urgent'), ('5-LOW', 'low')) for c, l in (('z', 'z'), ('c', 'change'), ('m', 'ma')))} FROM a GROUP BY 1)""",
+    "ts " + " ".join(f"{n}_{label}:6" for n in INDICES.values() for label in INDEX_LABELS.values()),
+    f"""{BARS_1D_SQL}, a AS (SELECT series_id, ts, {z_sql('close', 30, 1)} AS z, close / {lag('close', 7)} - 1 AS change, close / {roll('avg(close)', 'close', 30, 1)} AS ma FROM bars),
+    t AS (SELECT ts, {', '.join(f"max({c}) FILTER (WHERE series_id = '{s}') AS {n}_{c}" for s, n in INDICES.items() for c in INDEX_LABELS.values())} FROM a GROUP BY 1)""",
 )
 def _(spark, sf):
-    bars = bars_1d(spark, sf).filter(F.col("series_id").isin(PRIO)).select("series_id", "ts", F.col("close").alias("value"))
-    out = X.index_features(bars, BARS_1D, PRIO)
-    names = {"zscore_30d": "z", "change_7d": "change", "ma_ratio": "ma"}
-    return out.withColumnsRenamed(
-        {f"{s}_{a}": f"{n}_{b}" for s, n in (("1-URGENT", "urgent"), ("5-LOW", "low")) for a, b in names.items()}
-    )
+    bars = bars_1d(spark, sf).select("series_id", "ts", F.col("close").alias("value"))
+    out = X.index_features(bars, BARS_1D, list(INDICES))
+    return out.withColumnsRenamed({f"{s}_{a}": f"{n}_{b}" for s, n in INDICES.items() for a, b in INDEX_LABELS.items()})
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barline.grid import HOUR, min_of, sum_of
 from barline.operators import joins as J
 from barline.operators.fill import regrid
 from barline.plans.adapters import (
@@ -23,7 +24,6 @@ from barline.plans.adapters import (
     table,
 )
 from barline.plans.registry import query
-from barline.grid import HOUR
 
 DAILY_CTX_SQL = """ctx AS (SELECT event_type AS series_id, date_trunc('day', ts::TIMESTAMP) AS ts,
       CASE WHEN day(ts) % 4 = 0 THEN NULL ELSE max(value) END AS hi, CASE WHEN day(ts) % 3 = 0 THEN NULL ELSE avg(value) END AS mean
@@ -158,14 +158,9 @@ def _(spark, sf):
       ON s.series_id = b.series_id AND b.ts >= s.event_ts AND b.ts < s.event_ts + INTERVAL 4 HOUR GROUP BY 1, 2)""",
 )
 def _(spark, sf):
-    return J.range_agg(
-        signal_events(spark, sf),
-        bars_1h(spark, sf).select("series_id", "ts", "low"),
-        BARS_1H,
-        4 * HOUR,
-        [F.min("low").alias("low"), F.count("low").alias("bars")],
-        ["event_id"],
-    )
+    folds = {"low": min_of("low"), "bars": sum_of(F.col("low").isNotNull().cast("int"))}
+    found = J.range_fold(signal_events(spark, sf), bars_1h(spark, sf).select("series_id", "ts", "low"), BARS_1H, 4 * HOUR, folds, ["event_id"])
+    return found.withColumn("bars", F.coalesce("bars", F.lit(0.0)))
 
 
 @query(

@@ -294,6 +294,21 @@ def _(spark, sf):
     return E.pareto(c, "orders", "mean_price")
 
 
+@query(
+    "pareto_targets",
+    "o_custkey:i mean_price:6 orders:i largest:4",
+    """c AS (SELECT o_custkey, avg(o_totalprice) AS mean_price, count(*) AS orders, max(o_totalprice) AS largest FROM orders GROUP BY 1),
+    f AS (SELECT * FROM c WHERE mean_price > 100000 AND orders > 2 AND largest > 150000),
+    t AS (SELECT * FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.orders >= a.orders AND b.mean_price >= a.mean_price
+      AND (b.orders > a.orders OR b.mean_price > a.mean_price)))""",
+)
+def _(spark, sf):
+    """The front of the rows that meet all targets."""
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    c = o.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean_price"), F.count(F.lit(1)).alias("orders"), F.max("o_totalprice").alias("largest"))
+    return E.pareto(E.meets(c, {"mean_price": 100_000, "orders": 2, "largest": 150_000}), "orders", "mean_price")
+
+
 @query(
     "regime_agreement",
     "series_id n:i both_up:6 both_down:6 disagree:6",

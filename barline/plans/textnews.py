@@ -179,6 +179,19 @@ def _(spark, sf):
     )
 
 
+@query(
+    "news_stress",
+    "search_group z:6 sentiment_score:6 high_stress:i",
+    f"""{HOURLY_SQL.format(END=ASOF)}, l AS (SELECT search_group, coalesce(last(z ORDER BY ts), 0) AS z FROM z GROUP BY 1),
+    o AS (SELECT search_group, count(*) FILTER (WHERE sentiment = 'POSITIVE') AS pos, count(*) FILTER (WHERE sentiment = 'NEGATIVE') AS neg, count(*) AS n
+      FROM news WHERE published_at BETWEEN TIMESTAMP '{ASOF}' - INTERVAL 1 HOUR AND TIMESTAMP '{ASOF}' GROUP BY 1),
+    s AS (SELECT l.search_group, z, coalesce((pos - neg) / n, 0) AS sentiment_score FROM l LEFT JOIN o USING (search_group)),
+    t AS (SELECT *, (z > 2.0 AND sentiment_score < -0.3)::INT AS high_stress FROM s)""",
+)
+def _(spark, sf):
+    return N.stress(news(spark, sf), ASOF, ["search_group"])
+
+
 RECENT_SQL = f"{OUTLET_SQL}, rc AS (SELECT *, score * ({WEIGHT_SQL}) AS weighted FROM nw WHERE published_at BETWEEN TIMESTAMP '{ASOF}' - INTERVAL 4 HOUR AND TIMESTAMP '{ASOF}')"
 
 

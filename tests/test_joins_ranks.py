@@ -144,3 +144,43 @@ def test_filled_hours_and_small_parts(spark):
     close_to(got.n, n)
     close_to(got.z, (n - n.rolling(24, min_periods=2).mean()) / n.rolling(24, min_periods=2).std())
     assert ffill(df, Grid(("g",), "published_at"), ["g"]).count() == 3
+
+
+def test_range_fold_equals_pairs(spark):
+    """Random events and rows with equal times, gaps and slot borders, against every pair."""
+    from pyspark.sql import functions as F
+
+    from barline.grid import max_of, min_of, sum_of
+
+    rng = np.random.default_rng(4)
+    start = pd.Timestamp("2020-01-01")
+    rows = pd.DataFrame({"series_id": rng.choice(["a", "b"], 800), "ts": start + pd.to_timedelta(rng.integers(0, 400, 800) * 900, "s"), "v": rng.normal(size=800)})
+    rows = rows[(rows.ts < start + pd.Timedelta("1D")) | (rows.ts > start + pd.Timedelta("2D"))]
+    ev = pd.DataFrame({"series_id": rng.choice(["a", "b", "none"], 300), "ts": start + pd.to_timedelta(rng.integers(-9, 420, 300) * 900, "s"), "id": np.arange(300)})
+    folds = {"lo": min_of("v"), "hi": max_of("v"), "n": sum_of(F.col("v").isNotNull().cast("int"))}
+    got = J.range_fold(spark.createDataFrame(ev), spark.createDataFrame(rows), SMALL, 7200, folds, ["id"]).toPandas().set_index("id")
+    assert len(got) == 300
+    for r in ev.itertuples():
+        inside = rows[(rows.series_id == r.series_id) & (rows.ts >= r.ts) & (rows.ts < r.ts + pd.Timedelta(hours=2))].v
+        own = got.loc[r.id]
+        assert own.ts == r.ts and (own.n if own.n == own.n else 0) == len(inside)
+        if len(inside):
+            assert own.lo == inside.min() and own.hi == inside.max()
+
+
+def test_range_fold_has_no_pairs(spark):
+    """Many events and rows in one slot: two rows per event and one per row of the series are handed on."""
+    from pyspark.sql import functions as F
+
+    from barline.grid import min_of
+
+    at = F.timestamp_seconds(F.lit(1_577_836_800) + F.col("id") % 3600)
+    series = spark.range(20_000).select(F.lit("a").alias("series_id"), at.alias("ts"), F.col("id").cast("double").alias("v"))
+    events = spark.range(1_000).select(F.lit("a").alias("series_id"), at.alias("ts"), F.col("id").alias("event"))
+    out = J.range_fold(events, series, SMALL, 4 * 3600, {"lo": min_of("v")}, ["event"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # Every join is between rows and the one row per chunk of their own series.
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("_chunk" in line and "_slot" in line for line in joins)
+    got = {r.event: r.lo for r in out.collect()}
+    assert got == {i: float(i) for i in range(1_000)}
