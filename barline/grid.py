@@ -143,17 +143,20 @@ def _all(conditions) -> Column:
     return out
 
 
-def with_halo(df: DataFrame, grid: Grid, back: int, ahead: int) -> DataFrame:
+def with_halo(df: DataFrame, grid: Grid, back: int, ahead: int, counted: DataFrame | None = None) -> DataFrame:
     """Tag rows with their chunk and lend the ``back`` / ``ahead`` neighbouring rows to other chunks.
 
-    A chunk is a run of time blocks with about ``chunk_rows`` rows, so short series stay whole.
+    A chunk is a run of time blocks with about ``chunk_rows`` rows, so short series stay whole. The
+    rows per block are counted on ``counted`` if it is given: a table with the same series and times
+    that is cheaper to read, such as the one that ``df`` adds columns to.
     """
     keys = list(grid.key)
     df = grid.with_block(df)
     if back == 0 and ahead == 0:
         return df.withColumn(CHUNK, grid.chunk_of_block(F.col(BLOCK))).withColumn(HOME, F.col(CHUNK)).drop(BLOCK)
 
-    counts = df.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
+    source = df if counted is None else grid.with_block(counted)
+    counts = source.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_n"))
     by_block = Window.partitionBy(*keys).orderBy(BLOCK)
     blocks = (
         counts.withColumn("_end", F.sum("_n").over(by_block.rowsBetween(Window.unboundedPreceding, 0)))
@@ -186,14 +189,16 @@ def over_series(
     grid: Grid,
     *stages: dict[str, Roll | Column],
     keep_chunk: bool = False,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add window columns stage by stage; a later stage may use the columns of an earlier one.
 
     All stages share one shuffle and one sort. Plain columns are allowed next to window functions.
+    ``counted`` is handed to ``with_halo``.
     """
     back = sum(max((f.back for f in st.values() if isinstance(f, Roll)), default=0) for st in stages)
     ahead = sum(max((f.ahead for f in st.values() if isinstance(f, Roll)), default=0) for st in stages)
-    out = with_halo(df, grid, back, ahead)
+    out = with_halo(df, grid, back, ahead, counted)
     numbered_rows = any(f.needs_row for st in stages for f in st.values() if isinstance(f, Roll))
     if numbered_rows:
         spec = SeriesWindow((*grid.key, CHUNK), tuple(grid.order)).spec

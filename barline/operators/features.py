@@ -102,7 +102,7 @@ def daily_features(df: DataFrame, grid: Grid, p: DailyParams = DailyParams(), dr
         "rsi_14_z": (F.col(f"rsi_{p.rsi_short}") - 50) / 20,
     }
     hurst = [{}, *R.hurst_stages("log_return", p.hurst, "hurst_30d")]
-    out = over_series(macd(df, grid, "close", *p.macd), grid, *R.merged([first, second, third], hurst))
+    out = over_series(macd(df, grid, "close", *p.macd), grid, *R.merged([first, second, third], hurst), counted=df)
     out = out.drop(*[c for c in out.columns if c.startswith("_")], "ema_fast", "ema_slow")
     return out.na.drop("any", subset=MODEL_INPUT) if drop_burnin else out
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barline.functions.mathx import safe_div
+from barline.grid import over_series
 from barline.operators import features as X
+from barline.operators import rolling as R
 from barline.plans.adapters import (
     BARS_1D,
     BARS_1D_SQL,
@@ -68,6 +71,22 @@ def _(spark, sf):
     return X.daily_features(bars_1d(spark, sf), BARS_1D)
 
 
+@query(
+    "daily_positioning",
+    "series_id ts ret_short:6 buy_ratio:6 size_ratio:6",
+    f"""{BARS_1D_SQL}, a AS (SELECT series_id, ts, close / {lag('close', 7)} - 1 AS ret_short, volume FROM bars),
+    p AS (SELECT series_id, ts, taker_buy_quote_volume / quote_volume AS buy_ratio, volume / trades / close AS size_ratio FROM bars WHERE isodow(ts) <= 5),
+    t AS (SELECT series_id, ts, ret_short, buy_ratio, size_ratio FROM a LEFT JOIN p USING (series_id, ts))""",
+)
+def _(spark, sf):
+    """Daily features with the ratios of the positioning table; its other columns stay out."""
+    bars = bars_1d(spark, sf)
+    daily = over_series(bars, BARS_1D, {"ret_short": R.ret("close", 7)}).select("series_id", "ts", "ret_short", "volume")
+    size = safe_div(F.col("volume") / F.col("trades"), "close")
+    ratios = bars.filter(F.weekday("ts") < 5).select("series_id", "ts", "volume", "trades", safe_div("taker_buy_quote_volume", "quote_volume").alias("buy_ratio"), size.alias("size_ratio"))
+    return X.with_positioning(daily, ratios, BARS_1D)
+
+
 @query(
     "intraday_features",
     "series_id ts return_4h:6 volatility_24h:6 volume_zscore:6 buy_pressure:6 range_expansion:6",

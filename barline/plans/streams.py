@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.plans.adapters import BARS_4H_SQL, NEWS_SQL, bars_4h, news, table
@@ -34,16 +37,23 @@ def news_stream(spark, sf):
     return J.read_stream(spark, path, feed.schema)
 
 
+#: Trailing windows of the feed, in hours.
+WINDOWS = (1, 4, 24)
+
+
 @query(
     "stream_news_windows",
-    "window_end:t news_count:i net_sentiment:i total_score:4",
+    "hours:i window_end:t news_count:i net_sentiment:i total_score:4",
     f"""{NEWS_SQL}, m AS (SELECT max(published_at) - INTERVAL 1 HOUR AS mark FROM news),
     w AS (SELECT unnest(generate_series(date_trunc('hour', min(published_at)), max(published_at) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS asof FROM news),
-    t AS (SELECT w.asof AS window_end, count(*) AS news_count, sum(CASE sentiment WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN -1 ELSE 0 END) AS net_sentiment, sum(score) AS total_score
-      FROM w, m, news n WHERE n.published_at < w.asof AND n.published_at >= w.asof - INTERVAL 4 HOUR AND w.asof <= mark GROUP BY w.asof)""",
+    t AS (SELECT hours, w.asof AS window_end, count(*) AS news_count, sum(CASE sentiment WHEN 'POSITIVE' THEN 1 WHEN 'NEGATIVE' THEN -1 ELSE 0 END) AS net_sentiment, sum(score) AS total_score
+      FROM (VALUES {", ".join(f"({h})" for h in WINDOWS)}) v(hours), w, m, news n
+      WHERE n.published_at < w.asof AND n.published_at >= w.asof - to_hours(hours) AND w.asof <= mark GROUP BY hours, w.asof)""",
 )
 def _(spark, sf):
-    return J.run_to_table(J.stream_news(news_stream(spark, sf), "1 hour", hours=4), "stream_news")[0]
+    feed = news_stream(spark, sf)
+    runs = [J.run_to_table(J.stream_news(feed, "1 hour", hours=h), f"stream_news_{h}")[0].withColumn("hours", F.lit(h)) for h in WINDOWS]
+    return reduce(DataFrame.unionByName, runs)
 
 
 @query("stream_dedupe", "norm", f"{NEWS_SQL}, t AS (SELECT DISTINCT lower(title) AS norm FROM news)")
