@@ -102,7 +102,7 @@ def test_missing_values_weights_and_one_class(spark, rows):
 def test_checkpointed_growth(spark, rows):
     """More trees than a checkpoint apart; the training error goes down."""
     df = spark.createDataFrame(rows).coalesce(1)
-    short, long = (fit(df, [Model("m", ("a", "b", "c"), "target", squared=True)], growth=Growth(trees=n, depth=2, rate=0.2))[0] for n in (3, 28))
+    short, long = (fit(df, [Model("m", ("a", "b", "c"), "target", squared=True)], growth=Growth(trees=n, depth=3, rate=0.2))[0] for n in (3, 28))
     x = rows[["a", "b", "c"]].to_numpy().T
     error = [float(((f.scores(x) - rows.target) ** 2).mean()) for f in (short, long)]
     assert isinstance(long, Fitted) and error[1] < 0.5 * error[0]
